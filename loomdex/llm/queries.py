@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from loomdex.common import table
-from loomdex.llm import visual
+from loomdex.llm import tokens, visual
 
 QUERIES = {
+    "p6_ids": lambda s, d: tokens.encode(table(s, d, "documents"), "doc_id", "text"),
+    "p6_decode": lambda s, d: tokens.decode(tokens.encode(table(s, d, "documents"), "doc_id", "text"), "doc_id", "ids"),
     "p8_found": lambda s, d: visual.alike_pairs(table(s, d, "documents"), "doc_id", "text"),
     "p8_forms": lambda s, d: visual.visual_form(table(s, d, "documents"), "doc_id", "text"),
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    # decoding the ids must give the texts back
+    "p6_decode": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}

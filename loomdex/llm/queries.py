@@ -3,15 +3,32 @@
 from __future__ import annotations
 
 from loomdex.common import table
-from loomdex.llm import tokens, visual
+from loomdex.llm import frequency, mixing, tokens, visual
+from loomdex.plans.general import sql_norm, sql_tag
+
+
+def _mix(s, d):
+    return mixing.Mix(table(s, d, "documents"), table(s, d, "mix_targets"))
+
 
 QUERIES = {
+    "p4_found": lambda s, d: frequency.marked_tags(table(s, d, "gtp")).filter("mark IS NOT NULL").select("tag", "mark"),
+    "p4_frequency": lambda s, d: frequency.tag_frequency(table(s, d, "gtp")),
     "p6_ids": lambda s, d: tokens.encode(table(s, d, "documents"), "doc_id", "text"),
     "p6_decode": lambda s, d: tokens.decode(tokens.encode(table(s, d, "documents"), "doc_id", "text"), "doc_id", "ids"),
+    "p7_mix": lambda s, d: _mix(s, d).report(),
+    "p7_selection": lambda s, d: _mix(s, d).selection(),
     "p8_found": lambda s, d: visual.alike_pairs(table(s, d, "documents"), "doc_id", "text"),
     "p8_forms": lambda s, d: visual.visual_form(table(s, d, "documents"), "doc_id", "text"),
 }
+_TAGS = f"""
+WITH r AS (SELECT DISTINCT gtp_id, CASE WHEN {sql_tag('tag')} THEN tag END AS tag, {sql_norm('path')} AS path FROM gtp),
+f AS (SELECT count(DISTINCT path) AS all_files FROM r),
+t AS (SELECT tag, count(*) AS records, count(DISTINCT path) AS files FROM r WHERE tag IS NOT NULL GROUP BY tag)
+"""
 ORACLE: dict[str, str] = {
+    "p4_found": _TAGS + "SELECT tag, 'rare' AS mark FROM t WHERE records < 3 UNION ALL SELECT tag, 'common' FROM t, f WHERE files > 0.05 * all_files",
+    "p4_frequency": _TAGS + "SELECT tag, records, files, all_files FROM t, f",
     # decoding the ids must give the texts back
     "p6_decode": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

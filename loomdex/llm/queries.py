@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from loomdex.common import table
-from loomdex.llm import frequency, mixing, syntax, tokens, visual
+from loomdex.llm import frequency, handwritten, mixing, syntax, tokens, visual
 from loomdex.plans.general import sql_norm, sql_tag
 
 
@@ -12,6 +12,8 @@ def _mix(s, d):
 
 
 QUERIES = {
+    "p1_found": lambda s, d: handwritten.not_handwritten(table(s, d, "files"), table(s, d, "parser_param")).select("path").distinct(),
+    "p1_kinds": lambda s, d: handwritten.not_handwritten(table(s, d, "files"), table(s, d, "parser_param")),
     "p3_found": lambda s, d: syntax.malformed(table(s, d, "parser_param"), table(s, d, "lang_entry")),
     "p3_rates": lambda s, d: syntax.malformed_rates(table(s, d, "parser_param"), table(s, d, "lang_entry"), table(s, d, "files")),
     "p4_found": lambda s, d: frequency.marked_tags(table(s, d, "gtp")).filter("mark IS NOT NULL").select("tag", "mark"),

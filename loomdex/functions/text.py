@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from loomdex.functions.paths import normal_path
 
@@ -141,7 +142,7 @@ def include_name(image: Column) -> Column:
     return F.when(target != "", base_name(target)).when(php != "", base_name(php))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def detab(texts: pd.Series) -> pd.Series:
     """Tabs as blanks up to the next multiple of eight columns."""
     return texts.map(lambda x: None if x is None else x.expandtabs(8))
@@ -181,11 +182,11 @@ def uncompress_image(text: str, tag: str) -> str:
     return re.sub(r"@(@|n|d|t|\d|\{\d+\})", put, text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def short_image(images: pd.Series, tags: pd.Series) -> pd.Series:
     return pd.Series([None if i is None or t is None else compress_image(i, t) for i, t in zip(images, tags, strict=True)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def long_image(images: pd.Series, tags: pd.Series) -> pd.Series:
     return pd.Series([None if i is None or t is None else uncompress_image(i, t) for i, t in zip(images, tags, strict=True)], dtype=object)

@@ -12,6 +12,7 @@ from loomdex.functions import formats, text
 from loomdex.functions.paths import is_tag, normal_path
 from loomdex.operators import grep, incremental, reports, search
 from loomdex.plans.general import sql_norm, sql_tag
+from loomdex.parsers import tables
 from loomdex.sources import index
 from loomdex.sources.languages import LANGUAGE_MAP, language_of, skipped
 
@@ -52,7 +53,7 @@ query("def_anchored", f"WITH {D_} SELECT {COLS} FROM d WHERE key = 'sys_read'")(
 query("def_prefix", f"WITH {D_} SELECT {COLS} FROM d WHERE starts_with(key, 'read_')")(_defs(lambda x: search.search(x, "^read_.*")))
 query("def_regex", f"WITH {D_} SELECT {COLS} FROM d WHERE regexp_matches(key, '^[sg]et.*_[a-z]+o')")(_defs(lambda x: search.search(x, "^[sg]et.*_[[:lower:]]+o")))
 query("def_regex_prefix", f"WITH {D_} SELECT {COLS} FROM d WHERE regexp_matches(key, '^pop.*[ae]$')")(_defs(lambda x: search.search(x, "^pop.*[ae]$")))
-query("def_icase", f"WITH {D_} SELECT {COLS} FROM d WHERE lower(key) = 'get_entry_heap_sera'")(_defs(lambda x: search.search(x, "get_entry_HEAP_sera", icase=True)))
+query("def_icase", f"WITH {D_} SELECT {COLS} FROM d WHERE lower(key) = 'base_read'")(_defs(lambda x: search.search(x, "BASE_Read", icase=True)))
 query("def_icase_prefix", f"WITH {D_} SELECT {COLS} FROM d WHERE starts_with(lower(key), 'get')")(_defs(lambda x: search.search(x, "^GET", icase=True)))
 query("def_scan", f"WITH {D_} SELECT {COLS} FROM d")(_defs(lambda x: search.search(x, ".*")))
 query("def_empty", f"WITH {D_} SELECT {COLS} FROM d WHERE false")(_defs(lambda x: search.search(x, "")))
@@ -68,7 +69,7 @@ query("complete_prefix", "SELECT DISTINCT key FROM defs WHERE starts_with(key, '
 query("complete_icase", "SELECT DISTINCT key FROM defs WHERE starts_with(lower(key), 'get')")(lambda s, d: search.complete(table(s, d, "defs"), "GET", icase=True))
 query("limit_first_n", "SELECT DISTINCT key FROM defs WHERE starts_with(key, 'read_') ORDER BY key LIMIT 20")(lambda s, d: search.complete(table(s, d, "defs"), "read_").orderBy("key").limit(20))
 LIBS = ["ostrava-db", "tarnbrook", "varnhold"]
-_LIB = f"WITH {D_}, h AS (SELECT *, list_position({LIBS}, repo) AS lib_rank FROM d WHERE regexp_matches(key, '^(base|sys|util)_') AND repo IN {tuple(LIBS)})"
+_LIB = f"WITH {D_}, h AS (SELECT *, CAST(list_position({LIBS}, repo) AS BIGINT) AS lib_rank FROM d WHERE regexp_matches(key, '^(base|sys|util)_') AND repo IN {tuple(LIBS)})"
 query("library_first", _LIB + " SELECT key, tag, path, lineno, lib_rank FROM h WHERE lib_rank = (SELECT min(lib_rank) FROM h AS b WHERE b.key = h.key)")(lambda s, d: search.first_library(index.definitions(s, d), LIBS, "^(base|sys|util)_").select("key", "tag", "path", "lineno", "lib_rank"))
 query("library_through", _LIB + " SELECT key, tag, path, lineno, lib_rank FROM h")(lambda s, d: search.first_library(index.definitions(s, d), LIBS, "^(base|sys|util)_", through=True).select("key", "tag", "path", "lineno", "lib_rank"))
 
@@ -106,7 +107,7 @@ query("grep_basic", rf"WITH {L_} SELECT * FROM l WHERE regexp_matches(image, '^(
 query("grep_invert", f"WITH {L_} SELECT * FROM l WHERE NOT contains(image, ';')")(lambda s, d: grep.grep(index.lines(s, d), ";", literal=True, invert=True))
 query("grep_files", f"WITH {L_} SELECT DISTINCT path FROM l WHERE contains(image, 'while')")(lambda s, d: grep.grep_files(index.lines(s, d), "while"))
 query("assign_lines", rf"WITH {L_} SELECT * FROM l WHERE regexp_matches(image, '\bacc\b[ \t]*=[^=]')")(lambda s, d: grep.grep(index.lines(s, d), r"\bacc\b[ 	]*=[^=]"))
-query("include_lines", rf"WITH {L_} SELECT * FROM l WHERE regexp_matches(image, '^[ \t]*#[ \t]*include[ \t].*[\"</]value\.h[\">]')")(lambda s, d: grep.grep(index.lines(s, d), r'^[ 	]*#[ 	]*include[ 	].*["</]value\.h[">]'))
+query("include_lines", rf"WITH {L_} SELECT * FROM l WHERE regexp_matches(image, '^[ \t]*#[ \t]*include[ \t].*[\"</]r[a-z]*\.h[\">]')")(lambda s, d: grep.grep(index.lines(s, d), r'^[ 	]*#[ 	]*include[ 	].*["</]r[[:lower:]]*\.h[">]'))
 query("colour_lines", rf"WITH {L_} SELECT param_id, lineno, regexp_replace(image, '(acc)', chr(27) || '[01;31m\1' || chr(27) || '[m', 'g') AS image FROM l WHERE contains(image, 'acc')")(lambda s, d: grep.grep(index.lines(s, d), "acc").select("param_id", "lineno", text.highlight(F.col("image"), "acc").alias("image")))
 _FILES = f"WITH {F_} SELECT DISTINCT path FROM f WHERE "
 query("path_match", _FILES + r"kind = 'source' AND regexp_matches(path[2:], '\.c$')")(lambda s, d: grep.find_paths(index.files(s, d), r"\.c$"))
@@ -159,7 +160,7 @@ query("urls", f"WITH {D_} SELECT tag, 'S/' || fid || '.html#L' || lineno AS sour
     lambda s, d: index.definitions(s, d).select("tag", F.format_string("S/%d.html#L%d", "fid", "lineno").alias("source_url"), F.concat(F.lit("file://"), "path", F.lit("#L"), F.col("lineno").cast("string")).alias("file_url"))
 )
 query("locate", f"""WITH {F_} SELECT DISTINCT path, nullif(instr(path, 'e'), 0) - 1 AS first_e, CASE WHEN contains(path, 'e') THEN length(path) - instr(reverse(path), 'e') END AS last_e,
-    CASE WHEN starts_with(path, './t') THEN 3 END AS at_start, CASE WHEN ends_with(path, '.c') THEN length(path) - 2 END AS at_end FROM f""")(
+    CASE WHEN starts_with(path, './t') THEN CAST(3 AS BIGINT) END AS at_start, CASE WHEN ends_with(path, '.c') THEN length(path) - 2 END AS at_end FROM f""")(
     lambda s, d: index.files(s, d).select("path").distinct().select("path", text.locate(F.col("path"), "e", "first").alias("first_e"), text.locate(F.col("path"), "e", "last").alias("last_e"), text.locate(F.col("path"), "./t", "start").alias("at_start"), text.locate(F.col("path"), ".c", "end").alias("at_end"))
 )
 query("file_sizes", f"WITH {F_} SELECT fid, size, format('{{:,}}', size) AS shown FROM f")(lambda s, d: index.files(s, d).select("fid", "size", F.format_number("size", 0).alias("shown")))
@@ -257,3 +258,15 @@ query(
     "upsert",
     "SELECT path, fid, mtime FROM (SELECT DISTINCT path, fid, mtime FROM files WHERE path IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY path ORDER BY fid DESC) = 1",
 )(lambda s, d: (lambda f: incremental.upsert(f.filter("fid % 2 = 0"), f.filter("fid % 2 = 1"), ["path"], "fid"))(table(s, d, "files").filter("path IS NOT NULL").select("path", "fid", "mtime").distinct()))
+
+
+# --- parsers: no SQL for them ---
+def _parsed(s: SparkSession, d: str) -> DataFrame:
+    p = table(s, d, "parser_param").filter((F.length("content") > 0) & F.col("file").isNotNull()).dropDuplicates(["param_id"])
+    rows = p.select(F.concat(F.lit("./"), normal_path(F.col("file"))).alias("path"), language_of(F.col("file")).alias("lang"), "content")
+    return tables.parse_files(rows.filter("lang IS NOT NULL").repartition(F.col("path")))
+
+
+query("parse_definitions")(lambda s, d: tables.definitions_of(_parsed(s, d)))
+query("parse_references")(lambda s, d: tables.references_of(_parsed(s, d)))
+query("parse_languages")(lambda s, d: _parsed(s, d).groupBy("kind").agg(F.count("*").alias("events"), F.countDistinct("tag").alias("tags"), F.countDistinct("path").alias("files")))

@@ -34,7 +34,7 @@ def split_lines(content: Column) -> Column:
     raw = F.split(content, "\n", -1)
     ended = content.endswith("\n")
     kept = F.when(ended, F.slice(raw, F.lit(1), F.size(raw) - 1)).otherwise(raw)
-    return F.transform(kept, lambda x, i: F.struct((i + 1).cast("long").alias("lineno"), F.when((i + 1 < F.size(kept)) | ended, F.regexp_replace(x, "\r$", "")).otherwise(x).alias("image")))
+    return F.transform(kept, lambda x, i: F.struct((i + 1).cast("long").alias("lineno"), F.when((i + 1 < F.size(kept)) | ended, F.regexp_replace(x, "\r\\z", "")).otherwise(x).alias("image")))
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:

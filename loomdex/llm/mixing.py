@@ -104,10 +104,9 @@ def route(capacity: dict[tuple[str, ...], int], weights: dict[str, float], repea
             g, arcs, got = solve(quota)
             if got == sum(quota.values()):
                 break
-            short = [s for s in have if ("s", s) not in g.reached]  # the cut's far side still lacks nothing
-            starved = [s for s in have if s not in short] or have
-            supply = got - sum(quota[s] for s in short)
-            total = min(total - 1, int(supply * share / sum(weights[s] for s in starved)))
+            starved = [s for s in have if ("s", s) not in g.reached]  # beyond the cut: all that can reach them does
+            supply = got - sum(quota[s] for s in have if s not in starved)
+            total = max(0, min(total - 1, int(supply * share / sum(weights[s] for s in starved))))
     quota = quotas(total)
     g, arcs, _ = solve(quota)
     return {k: g.left[e ^ 1] for k, e in arcs.items() if g.left[e ^ 1]}, quota

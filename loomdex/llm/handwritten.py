@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomdex.common import written
 from loomdex.functions.paths import normal_path
 from loomdex.llm.syntax import language
 
@@ -145,6 +146,7 @@ def copies(texts: DataFrame) -> DataFrame:
     lines = F.filter(F.transform(F.split("content", r"\r\n|\r|\n"), lambda x: F.regexp_replace(F.trim(x), r"\s+", " ")), lambda x: F.length(x) >= LINE_CHARS)
     rows = texts.filter(F.length("content") > 0).select("path", "repo", F.coalesce("born", F.lit("9999-12-31").cast("timestamp_ntz")).alias("born"), lines.alias("lines"))
     rows = rows.withColumn("text", F.md5(F.encode(F.array_join("lines", "\n"), "utf-8"))).withColumn("h", F.transform(F.array_distinct("lines"), lambda x: F.xxhash64(x))).drop("lines")
+    rows = written(rows, "lines")  # read several times below; hashes only
     held = rows.select("text", "repo", "born", F.explode("h").alias("h")).groupBy("text", "repo", "h").agg(F.min("born").alias("born"))
     df = held.select("text", "h").distinct().groupBy("h").agg(F.count("*").alias("df"))
     n = rows.select("text").distinct().agg(F.count("*").alias("n")).select(F.greatest(F.lit(RARE_TEXTS), F.col("n") * RARE_SHARE)).scalar()

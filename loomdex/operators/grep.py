@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomdex.functions.text import SYMBOL
 from loomdex.operators.patterns import is_plain, java_regex
 
 
@@ -54,3 +55,10 @@ def complete_paths(files: DataFrame, prefix: str) -> DataFrame:
     rest = F.substring("path", 3, 1 << 30)
     starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(rest), F.lit(1))), lambda i: F.substring(rest, i, F.lit(len(prefix))) == prefix)
     return files.select(F.explode(F.transform(starts, lambda i: F.substring(rest, i, F.length(rest)))).alias("completion")).distinct()
+
+
+def tokens(lines: DataFrame) -> DataFrame:
+    """The token index of the lines: (token, path, lineno), each once. Written sorted by token it answers exact and
+    prefix lookups from the files' statistics."""
+    words = F.array_distinct(F.regexp_extract_all("image", F.lit(SYMBOL), F.lit(0)))
+    return lines.select(F.explode(words).alias("token"), "path", "lineno").distinct()

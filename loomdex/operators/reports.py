@@ -106,3 +106,8 @@ def call_tree(text: DataFrame, files: DataFrame) -> DataFrame:
     rows = text.select("seq", F.length(part(1)).alias("depth"), part(2).alias("name"), F.nullif(part(3), F.lit("")).alias("path"), F.nullif(part(4), F.lit("")).cast("long").alias("lineno")).filter("name <> ''")
     f = files.select(F.concat(F.lit("./"), normal_path(F.col("path"))).alias("norm"), "fid").groupBy("norm").agg(F.max("fid").alias("fid"))
     return rows.join(f, F.concat(F.lit("./"), normal_path(F.col("path"))) == F.col("norm"), "left").drop("norm")
+
+
+def line_clusters(anchors: DataFrame) -> DataFrame:
+    """Per line with anchors (path, lineno, tag, kind): how many there are, and whether one defines a function."""
+    return anchors.groupBy("path", "lineno").agg(F.count("*").alias("anchors"), F.max(F.col("kind") == "D").alias("defines"))

@@ -109,6 +109,9 @@ query("grep_files", f"WITH {L_} SELECT DISTINCT path FROM l WHERE contains(image
 query("assign_lines", rf"WITH {L_} SELECT * FROM l WHERE regexp_matches(image, '\bacc\b[ \t]*=[^=]')")(lambda s, d: grep.grep(index.lines(s, d), r"\bacc\b[ 	]*=[^=]"))
 query("include_lines", rf"WITH {L_} SELECT * FROM l WHERE regexp_matches(image, '^[ \t]*#[ \t]*include[ \t].*[\"</]r[a-z]*\.h[\">]')")(lambda s, d: grep.grep(index.lines(s, d), r'^[ 	]*#[ 	]*include[ 	].*["</]r[[:lower:]]*\.h[">]'))
 query("colour_lines", rf"WITH {L_} SELECT param_id, lineno, regexp_replace(image, '(acc)', chr(27) || '[01;31m\1' || chr(27) || '[m', 'g') AS image FROM l WHERE contains(image, 'acc')")(lambda s, d: grep.grep(index.lines(s, d), "acc").select("param_id", "lineno", text.highlight(F.col("image"), "acc").alias("image")))
+_TOK = f"WITH {L_}, w AS (SELECT DISTINCT unnest(regexp_extract_all(image, '[A-Za-z_\\x{{80}}-\\x{{10FFFF}}][A-Za-z0-9_\\x{{80}}-\\x{{10FFFF}}]*')) AS token, path, lineno FROM l)"
+query("token_lookup", _TOK + " SELECT * FROM w WHERE token = 'return'")(lambda s, d: grep.tokens(index.lines(s, d)).filter("token = 'return'"))
+query("token_complete", _TOK + " SELECT DISTINCT token FROM w WHERE starts_with(token, 'sc')")(lambda s, d: grep.tokens(index.lines(s, d)).filter(F.col("token").startswith("sc")).select("token").distinct())
 _FILES = f"WITH {F_} SELECT DISTINCT path FROM f WHERE "
 query("path_match", _FILES + r"kind = 'source' AND regexp_matches(path[2:], '\.c$')")(lambda s, d: grep.find_paths(index.files(s, d), r"\.c$"))
 query("path_anchor", _FILES + "kind = 'source' AND starts_with(path[2:], '/tarn')")(lambda s, d: grep.find_paths(index.files(s, d), "^tarn"))
@@ -156,6 +159,7 @@ query("fmt_nosource", f"WITH {D_} SELECT path || ':' || lineno || ': ' AS line F
 query("dump", "SELECT key || chr(9) || fid || ' ' || tag || ' ' || lineno || ' ' || coalesce(image, '') AS line FROM defs")(lambda s, d: table(s, d, "defs").select(F.concat_ws("\t", "key", F.concat_ws(" ", F.col("fid").cast("string"), "tag", F.col("lineno").cast("string"), F.coalesce("image", F.lit("")))).alias("line")))
 query("method_key", f"SELECT DISTINCT tag, {KEY} AS key FROM gtp WHERE {sql_tag('tag')}")(lambda s, d: table(s, d, "gtp").filter(is_tag(F.col("tag"))).select("tag").distinct().withColumn("key", text.method_key(F.col("tag"))))
 query("html_lines", f"WITH {L_} SELECT param_id, lineno, replace(replace(replace(image, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM l")(lambda s, d: index.lines(s, d).select("param_id", "lineno", text.html_escape(F.col("image")).alias("html")))
+query("url_decode", f"WITH {F_} SELECT DISTINCT path, path AS decoded FROM f")(lambda s, d: index.files(s, d).select("path").distinct().withColumn("decoded", F.url_decode(F.url_encode("path"))))
 query("urls", f"WITH {D_} SELECT tag, 'S/' || fid || '.html#L' || lineno AS source_url, 'file://' || path || '#L' || lineno AS file_url FROM d")(
     lambda s, d: index.definitions(s, d).select("tag", F.format_string("S/%d.html#L%d", "fid", "lineno").alias("source_url"), F.concat(F.lit("file://"), "path", F.lit("#L"), F.col("lineno").cast("string")).alias("file_url"))
 )
@@ -206,6 +210,12 @@ query(
 )(
     lambda s, d: (lambda r, f: index.definitions(s, d).select("path", "lineno", "tag", F.lit("D").alias("kind")).unionByName(search.resolved(r, f).select("path", "lineno", "tag", F.lit("R").alias("kind"))).unionByName(search.unresolved(r, f).select("path", "lineno", "tag", F.lit("Y").alias("kind"))))(index.references(s, d), table(s, d, "defs"))
 )
+query(
+    "line_clusters",
+    f"WITH {D_}, {R_}, x AS (SELECT path, lineno, 'D' AS kind FROM d UNION ALL SELECT path, lineno, 'R' FROM r) SELECT path, lineno, count(*) AS anchors, max(kind = 'D') AS defines FROM x GROUP BY ALL",
+)(
+    lambda s, d: reports.line_clusters(index.definitions(s, d).select("path", "lineno", F.lit("D").alias("kind")).unionByName(index.references(s, d).select("path", "lineno", F.lit("R").alias("kind"))))
+)
 query(
     "line_ranges",
     f"""WITH {R_}, x AS (SELECT DISTINCT path, tag, lineno FROM r), y AS (SELECT *, lineno - row_number() OVER (PARTITION BY path, tag ORDER BY lineno) AS island FROM x),

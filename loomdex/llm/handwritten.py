@@ -148,15 +148,14 @@ def copies(texts: DataFrame) -> DataFrame:
     rows = rows.withColumn("text", F.md5(F.encode(F.array_join("lines", "\n"), "utf-8"))).withColumn("h", F.transform(F.array_distinct("lines"), lambda x: F.xxhash64(x))).drop("lines")
     rows = written(rows, "lines")  # read several times below; hashes only
     held = rows.select("text", "repo", "born", F.explode("h").alias("h")).groupBy("text", "repo", "h").agg(F.min("born").alias("born"))
-    df = held.select("text", "h").distinct().groupBy("h").agg(F.count("*").alias("df"))
     n = rows.select("text").distinct().agg(F.count("*").alias("n")).select(F.greatest(F.lit(RARE_TEXTS), F.col("n") * RARE_SHARE)).scalar()
-    rare = df.filter(F.col("df") <= n).select("h")
-    index = held.join(rare, "h", "left_semi")
-    shared = index.groupBy("h", "repo").agg(F.min("born").alias("born"))
-    several = shared.groupBy("h").agg(F.min("repo").alias("a"), F.max("repo").alias("b")).filter("a <> b").select("h")
+    stats = rows.select("text", "repo", F.explode("h").alias("h")).groupBy("h", "text").agg(F.min("repo").alias("a"), F.max("repo").alias("b"))
+    stats = stats.groupBy("h").agg(F.count("*").alias("df"), F.min("a").alias("a"), F.max("b").alias("b")).filter(F.col("df") <= n)
+    index = held.join(stats.select("h", (F.col("a") != F.col("b")).alias("several")), "h")
     totals = index.groupBy("text", "repo").agg(F.count("*").alias("lines"))
-    other = shared.join(several, "h", "left_semi").select("h", F.col("repo").alias("other"), F.col("born").alias("first"))
-    hits = index.join(other, "h").filter((F.col("repo") != F.col("other")) & (F.struct("first", "other") < F.struct("born", "repo")))
+    shared = written(index.filter("several").drop("several"), "shared")
+    other = shared.groupBy("h", F.col("repo").alias("other")).agg(F.min("born").alias("first"))
+    hits = shared.join(other, "h").filter((F.col("repo") != F.col("other")) & (F.struct("first", "other") < F.struct("born", "repo")))
     best = hits.groupBy("text", "repo", "other").agg(F.count("*").alias("held")).join(totals, ["text", "repo"])
     best = best.filter((F.col("lines") >= LEAST_LINES) & (F.col("held") >= F.col("lines") * CONTAINED)).select("text", "repo").distinct()
     return rows.select("path", "repo", "text").join(best, ["text", "repo"], "left_semi").select("path", F.lit("copy").alias("kind")).distinct()

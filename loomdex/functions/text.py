@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +15,11 @@ from loomdex.functions.paths import normal_path
 SYMBOL = r"[A-Za-z_\u0080-\x{10FFFF}][A-Za-z0-9_\u0080-\x{10FFFF}]*"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body over the value, which is computed once for a row however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def method_key(tag: Column) -> Column:
     """The name in a scoped tag: what follows the last dot, else the last double colon, else the tag."""
     return F.when(tag.contains("."), F.substring_index(tag, ".", -1)).when(tag.contains("::"), F.substring_index(tag, "::", -1)).otherwise(tag)
@@ -42,10 +49,13 @@ def relative(path: Column, base: Column) -> Column:
 
     Both are taken in normal form; the directory itself is ``./``."""
     parts = lambda c: F.filter(F.split(normal_path(c), "/"), lambda x: x != "")
-    p, b = parts(path), parts(base)
-    shared = F.aggregate(F.sequence(F.lit(1), F.least(F.size(p), F.size(b)) + 1), F.lit(0), lambda n, i: F.when((n == i - 1) & (i <= F.least(F.size(p), F.size(b))) & (F.get(p, i - 1) == F.get(b, i - 1)), i).otherwise(n))
-    rest = F.array_join(F.slice(p, shared + 1, F.greatest(F.size(p) - shared, F.lit(0))), "/")
-    out = F.concat(F.repeat(F.lit("../"), (F.size(b) - shared).cast("int")), rest)
+
+    def seen(x: Column) -> Column:
+        p, b = x["p"], x["b"]
+        shared = F.size(F.filter(F.sequence(F.lit(0), F.least(F.size(p), F.size(b))), lambda i: (i > 0) & (F.slice(p, F.lit(1), i) == F.slice(b, F.lit(1), i))))
+        return F.concat(F.repeat(F.lit("../"), F.size(b) - shared), F.array_join(F.slice(p, shared + 1, F.size(p)), "/"))
+
+    out = let(F.struct(parts(path).alias("p"), parts(base).alias("b")), seen)
     return F.when(out == "", F.lit("./")).otherwise(out)
 
 
@@ -114,10 +124,16 @@ def parse_xid(text: Column) -> Column:
 
 def encode_lines(linenos: Column) -> Column:
     """A sorted list of distinct line numbers as text: distances from number to number, runs as ``first-length``."""
-    step = lambda s, n: F.when(F.size(s) == 0, F.array(F.struct(n.alias("a"), n.alias("b")))).when(F.element_at(s, -1)["b"] == n - 1, F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(F.struct(F.element_at(s, -1)["a"].alias("a"), n.alias("b"))))).otherwise(F.concat(s, F.array(F.struct(n.alias("a"), n.alias("b")))))
-    runs = F.aggregate(linenos.cast("array<int>"), F.array().cast("array<struct<a:int,b:int>>"), step)
-    told = F.transform(runs, lambda r, i: F.concat((r["a"] - F.coalesce(F.get(runs, i - 1)["b"], F.lit(0))).cast("string"), F.when(r["b"] > r["a"], F.concat(F.lit("-"), (r["b"] - r["a"]).cast("string"))).otherwise("")))
-    return F.array_join(told, ",")
+    def runs(n: Column) -> Column:
+        first = F.filter(n, lambda x, i: (i == 0) | (F.get(n, i - 1) != x - 1))
+        last = F.filter(n, lambda x, i: (i == F.size(n) - 1) | (F.get(n, i + 1) != x + 1))
+        return F.arrays_zip(first.alias("a"), last.alias("b"))
+
+    def told(runs: Column) -> Column:
+        tail = lambda r: F.when(r["b"] > r["a"], F.concat(F.lit("-"), (r["b"] - r["a"]).cast("string"))).otherwise("")
+        return F.array_join(F.transform(runs, lambda r, i: F.concat((r["a"] - F.coalesce(F.get(runs, i - 1)["b"], F.lit(0))).cast("string"), tail(r))), ",")
+
+    return let(let(linenos.cast("array<int>"), runs).cast("array<struct<a:int,b:int>>"), told)
 
 
 def decode_lines(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomdex.functions.text import let
 from loomdex.operators.patterns import access
 
 
@@ -56,10 +57,12 @@ def resolve_context(contexts: DataFrame, defs: DataFrame) -> DataFrame:
 
 def nearness(path: Column, base: str) -> Column:
     """How many leading components a path shares with the base, one more if it is the same file."""
-    p, b = F.split(path, "/"), F.lit(base.split("/"))
-    top = F.least(F.size(p), F.size(b))
-    same = F.filter(F.sequence(F.lit(1), F.greatest(top - 1, F.lit(1))), lambda i: (i < top) & (F.slice(p, F.lit(1), i) == F.slice(b, F.lit(1), i)))
-    return (F.size(same) + F.when((path == base) & ~path.endswith("/"), 1).otherwise(0)).cast("long")
+    b = F.lit(base.split("/"))
+
+    def same(p: Column) -> Column:
+        return F.size(F.filter(F.sequence(F.lit(0), F.least(F.size(p), F.size(b)) - 1), lambda i: (i > 0) & (F.slice(p, F.lit(1), i) == F.slice(b, F.lit(1), i))))
+
+    return (let(F.split(path, "/"), same) + F.when((path == base) & ~path.endswith("/"), 1).otherwise(0)).cast("long")
 
 
 def near(rel: DataFrame, base: str) -> DataFrame:

@@ -29,15 +29,14 @@ def references(spark: SparkSession, d: str) -> DataFrame:
 
 
 def split_lines(content: Column) -> Column:
-    """(lineno from 1, image) of each line: one carriage return before a line end goes with it, a last line without a line
-    end keeps its own, and a final line end begins no new line."""
-    raw = F.split(content, "\n", -1)
-    ended = content.endswith("\n")
-    kept = F.when(ended, F.slice(raw, F.lit(1), F.size(raw) - 1)).otherwise(raw)
-    return F.transform(kept, lambda x, i: F.struct((i + 1).cast("long").alias("lineno"), F.when((i + 1 < F.size(kept)) | ended, F.regexp_replace(x, "\r\\z", "")).otherwise(x).alias("image")))
+    """The lines of a text: one carriage return before a line end goes with it, a last line without a line end keeps its
+    own, and a final line end begins no new line."""
+    return F.split(F.regexp_replace(F.replace(content, F.lit("\r\n"), F.lit("\n")), "\n\\z", ""), "\n", -1)
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    """param_id, path, lineno, image of every line of the texts handed to the parser; each record once."""
-    p = table(spark, d, "parser_param").filter((F.length("content") > 0) & F.col("file").isNotNull()).dropDuplicates(["param_id"])
-    return p.select("param_id", F.concat(F.lit("./"), normal_path(F.col("file"))).alias("path"), F.inline(split_lines(F.col("content"))))
+    """param_id, path, lineno (from 1), image of every line of the texts handed to the parser; each record once. Repeated
+    records go last, line by line, so that filters on lines come first."""
+    p = table(spark, d, "parser_param").filter((F.length("content") > 0) & F.col("file").isNotNull())
+    rows = p.select("param_id", F.concat(F.lit("./"), normal_path(F.col("file"))).alias("path"), F.posexplode(split_lines(F.col("content"))).alias("pos", "image"))
+    return rows.select("param_id", "path", (F.col("pos") + 1).cast("long").alias("lineno"), "image").distinct()

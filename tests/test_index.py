@@ -27,7 +27,7 @@ def project(spark):
     events = tables.parse_files(f)
     defs = tables.definitions_of(events).withColumn("key", F.col("tag"))
     refs = tables.references_of(events).withColumn("key", F.col("tag"))
-    lines = f.select("path", "kind", F.inline(split_lines(F.col("content"))))
+    lines = f.select("path", "kind", F.posexplode(split_lines(F.col("content"))).alias("pos", "image")).withColumn("lineno", F.col("pos") + 1)
     return f, defs, refs, lines
 
 

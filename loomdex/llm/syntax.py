@@ -6,6 +6,7 @@ import math
 from collections import OrderedDict
 from collections.abc import Iterator
 from functools import cache
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -49,10 +50,10 @@ def language(file: Column, langmap: Column) -> Column:
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: OrderedDict[tuple[str, str], bool] = OrderedDict()
+    known: OrderedDict[tuple[str, bytes], bool] = OrderedDict()
 
     def good(lang: str, text: str) -> bool:
-        key = lang, text
+        key = lang, blake2b(text.encode(), digest_size=20).digest()
         if key not in known:
             if len(known) >= REMEMBERED:
                 known.popitem(last=False)

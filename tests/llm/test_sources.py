@@ -67,6 +67,17 @@ def test_malformed(lang, text):
     assert not well_formed(lang, text)
 
 
+def test_long_tables_and_nests():
+    numbers = ", ".join(["0x1f", "-2"] * 60_000)
+    assert well_formed("c", f"int t[] = {{ {numbers}, }};") and not well_formed("c", f"int t[] = {{ {numbers} , , }};")
+    pairs = ", ".join(["'k' => 1"] * 30_000)
+    assert well_formed("php", f"<?php return array({pairs});") and not well_formed("php", f"<?php return array({pairs}, 'k' => );")
+    assert Grammar.shortened("a , b , b , b , b , b , b".split()) == "a , b , b , b , b".split()
+    deep = "{" * 300 + "}" * 300
+    assert well_formed("c", f"void f(void) {deep}") and not well_formed("c", f"void f(void) {{ {deep}")
+    assert well_formed("c", "int x = " + "(" * 300 + "1" + ")" * 300 + ";")
+
+
 def test_python_against_its_own_parser(spark, data):
     p = table(spark, data, "parser_param").filter("file LIKE '%.py' AND content <> ''").select("content").distinct().collect()
     for (text,) in p:

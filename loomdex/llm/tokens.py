@@ -278,15 +278,53 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, cou
     return out.withColumnRenamed("id", key)
 
 
+@cache
+def pieces(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The table of pieces by id: size and place of each id's bytes, and all bytes; size 0 for ids without a piece."""
+    known = {i: x for x, i in ranks(path).items()}
+    size = np.zeros(max(known) + 1, np.int64)
+    for i, x in known.items():
+        size[i] = len(x)
+    return size, np.r_[0, np.cumsum(size)[:-1]], np.frombuffer(b"".join(known.get(i, b"") for i in range(len(size))), np.uint8)
+
+
+def _decode_batch(lists: pa.Array, path: str) -> pa.Array:
+    size, place, flat = pieces(path)
+    offsets = lists.offsets.to_numpy()
+    ids = pa.compute.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    offsets = np.r_[0, np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))] if lists.null_count else offsets - offsets[0]
+    known = (ids >= 0) & (ids < len(size))
+    ids = np.where(known, ids, 0)
+    n = np.where(known, size[ids], 0)
+    upto = np.r_[0, np.cumsum(n)]
+    out = flat[np.repeat(place[ids] - upto[:-1], n) + np.arange(upto[-1])]
+    made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(upto[offsets].astype(np.int64).tobytes()), pa.py_buffer(out.tobytes())])
+    try:
+        made = made.cast(pa.large_string())
+    except pa.ArrowInvalid:  # some row is no UTF-8
+        made = pa.array([x.decode(errors="replace") for x in made.to_pylist()], pa.large_string())
+    return pa.compute.if_else(lists.is_null(), pa.scalar(None, pa.large_string()), made) if lists.null_count else made
+
+
+def _decode(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute  # noqa: F401
+
+        for b in batches:
+            lists = b.column(1)
+            count = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            part = np.r_[0, np.cumsum(count)[:-1]] // (BLOCK_BYTES // 4)
+            cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(lists)] if len(lists) else []
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), _decode_batch(lists.slice(i, j - i), path).cast(pa.string())], names=["id", "text"])
+
+    return run
+
+
 def decode(df: DataFrame, key: str, ids: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(key, text): the text of each row's ids, by a join of the ids with their pieces; keys must be unique.
-
-    Rows are cut into runs of ids first, so a long text is put together from many small groups. The table of pieces is
-    broadcast: it has one row for each id of the vocabulary (50,256 here). Bytes that are no UTF-8 become U+FFFD."""
-    spark = df.sparkSession
-    pieces = F.broadcast(spark.createDataFrame(pa.table({"id": pa.array(ranks(vocabulary).values(), pa.int32()), "piece": pa.array([x.hex() for x in ranks(vocabulary)])})))
-    rows = df.select(F.col(key).alias("key"), F.posexplode_outer(ids).alias("pos", "id"))
-    hexes = rows.join(pieces, "id", "left").withColumn("run", F.floor(F.col("pos") / 4096))
-    one = lambda by, what: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, what))), lambda s: s[what]), "")
-    runs = hexes.groupBy("key", "run").agg(one("pos", "piece").alias("piece"))
-    return runs.groupBy("key").agg(F.make_valid_utf8(F.unhex(one("run", "piece")).cast("string")).alias("text")).withColumnRenamed("key", key)
+    """(key, text): the text of each row's ids, by a join of the ids with the table of pieces where the rows are: a gather
+    by id for a whole batch, so nothing is shuffled. Ids without a piece have none; bytes that are no UTF-8 become
+    U+FFFD; a null list stays null, an empty one is the empty text. Repeated rows come out as often."""
+    rows = df.select(F.col(key).alias("id"), F.col(ids).cast("array<int>").alias("ids"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(_decode(vocabulary), f"id {kind}, text string").withColumnRenamed("id", key)

@@ -123,6 +123,15 @@ def test_encoding_of_nothing(rows, encoder):
     assert [(x.doc_id, x.ids) for x in tokens.encode(rows([(1, None), (1, None)], "doc_id long, text string"), "doc_id", "text").collect()] == [(1, []), (1, [])]
 
 
+def test_decoding_of_odd_ids(rows, encoder):
+    ids = encoder.encode_ordinary("a\U0001f680b")
+    d = rows([(1, ids, 0), (2, [ids[1]], 0), (3, None, 0), (4, [], 0), (5, [-1, 10**9, ids[0], None], 0), (1, ids, 0)], "doc_id long, ids array<int>, text int")
+    got = sorted((x.doc_id, x.text) for x in tokens.decode(d, "doc_id", "ids").collect() if x.text is not None)
+    assert got[0] == got[1] == (1, "a\U0001f680b") and "\ufffd" in got[2][1] and got[3:] == [(4, ""), (5, "a")]
+    assert tokens.decode(d, "doc_id", "ids").filter("text IS NULL").count() == 1
+    assert tokens.decode(d.limit(0), "doc_id", "ids").count() == 0
+
+
 def test_words_that_share_a_hash():
     h1, h2 = np.array([5, 5, 9], np.uint64), np.array([1, 2, 1], np.uint64)
     assert tokens._distinct(np.r_[h1, h1], np.r_[h2, h2]).size == 3

@@ -35,7 +35,7 @@ def test_against_brute_force():
 
 
 GOOD = {
-    "c": ["", "int x;", "int f(a, b) int a; char *b; { return a ? b[0] : -1; }", '#if A\nint f(int a)\n#else\nint f(long a)\n#endif\n{ return 0; } // "', "struct s { int a : 3; struct { int b; } c; } *p = &(struct s){ .a = 1 }, q[2] = { [0] = { 1 } };", "typedef int (*fp)(int, ...); fp t[] = { f, g };", "void f(void) { for (int i = 0, *p = q; i < (int)sizeof(int); i++) { switch (i) { case 1: default: x: goto x; } } do ; while (0); }", "#define F(x) do { x } while (\nint y;", "static const char *s = \"a\" \"b\" PRI \"c\";", "MODULE(\"x\");\nint class, new;", "enum { A = 1, B, };", "static API int f(u32 x, const T *y);\nunsigned long int x; const struct s *p; T a; T *b(T c);\nint (*g(int a))(char) { return 0; }", "__attribute__((noreturn)) void f(void);"],
+    "c": ["", "int x;", "#if 0\nnot (code\n#endif\nint x;\n#if 0\n{\n#else\nint y;\n#endif\n#ifndef H\n#define H\nint z;\n#endif", "int f(a, b) int a; char *b; { return a ? b[0] : -1; }", '#if A\nint f(int a)\n#else\nint f(long a)\n#endif\n{ return 0; } // "', "struct s { int a : 3; struct { int b; } c; } *p = &(struct s){ .a = 1 }, q[2] = { [0] = { 1 } };", "typedef int (*fp)(int, ...); fp t[] = { f, g };", "void f(void) { for (int i = 0, *p = q; i < (int)sizeof(int); i++) { switch (i) { case 1: default: x: goto x; } } do ; while (0); }", "#define F(x) do { x } while (\nint y;", "static const char *s = \"a\" \"b\" PRI \"c\";", "MODULE(\"x\");\nint class, new;", "enum { A = 1, B, };", "static API int f(u32 x, const T *y);\nunsigned long int x; const struct s *p; T a; T *b(T c);\nint (*g(int a))(char) { return 0; }", "__attribute__((noreturn)) void f(void);"],
     "cpp": ["template <typename T, int N = 3> class A : public B<T>, private C { public: A() : x(1), y{2} {} virtual ~A() = default; T operator+(const A& o) const noexcept { return x + o.x; } private: T x; int y; };", "namespace a::b { using namespace std; using X = vector<vector<int>>; auto f = [&](auto x) mutable -> int { return x; }; }", "int main() { for (auto& [k, v] : m) std::cout << k << static_cast<int>(v) << std::endl; try { throw 1; } catch (...) { } if (auto p = f(); p) return 0; return a < b && c > d; }", "enum class E : int { A, B = 2 };", "int A::f(int x) const { delete[] p; p = new int[3]; return a->b<int>(x); }", 'auto s = R"x(")x";'],
     "java": ["package a.b; import static c.D.*; @Ann(x = 1) public class A<T extends B> extends C implements D<T> { int[] x = {1, 2}, y; static { f(); } A() { super(); } <U> U f(final List<? super U> a, int... b) throws E { for (String s : a) { x.y(z -> z + 1, A::new); } switch (b) { case 1: case 2 -> g(); default: } return (U) a.get(0); } enum Q { X(1) { }, Y; int z; } interface I { default void h() {} } record R(int a) { } }", "import vavo.record.*; class record { int record; }"],
     "javascript": ["'use strict'; const {a, b = 1, ...c} = d, [e] = f; export default class X extends Y { static #p = 1; get q() { return `a${b + `c${d}`}` } async *r() { yield* s } }", "a = b\nc = d\nfor (const x of y) if (/[/]\\//g.test(x)) continue\nlabel: while (1) break label", "!function(a){return a?1:{b:2,'c':[,1,],d(){}}}([]);var x=async(y)=>({...y});x?.y?.[z]??1", "return_ = a / b / c; x = y ? z : w => w;"],
@@ -45,7 +45,7 @@ GOOD = {
     "yacc": ["%{\n#include <x>\n%}\n%token A B\n%left '+'\n%union { int i; }\n%%\na : b '+' c { $$ = f($1, @2); } | /* none */ | error ';' ;\nb: A %prec B { if ($1) { x(); } } c\n%%\nint main(void) { return yyparse(); }\n"],
 }
 BAD = {
-    "c": ["int f(void) {", "int x", "int f(void) { return 1 }", "<<<<<<< HEAD\nint x;\n=======\n", "#if A\nint x;", "#endif", '#include "a', "int f(void) { int a = (1; }", 'char *s = "a;\n', "/* x", "import java.util.List;", "Some words of prose.", "--- a/x\n+++ b/x\n@@ -1 +1 @@\n-int x;\n+int y;\n", "int f(void) { } }", "struct s { int a; }\nstatic int f(void) { return 1; }", "int f\n{ return 1; }", "# python comment\nx = 1"],
+    "c": ["int f(void) {", "int x", "int f(void) { return 1 }", "<<<<<<< HEAD\nint x;\n=======\n", "#if A\nint x;", "#endif", '#include "a', "int f(void) { int a = (1; }", 'char *s = "a;\n', "/* x", "import java.util.List;", "Some words of prose.", "--- a/x\n+++ b/x\n@@ -1 +1 @@\n-int x;\n+int y;\n", "int f(void) { } }", "struct s { int a; }\nstatic int f(void) { return 1; }", "int f\n{ return 1; }", "# python comment\nx = 1", "#ifndef H\n#define H\nint f(void) {\n#endif", "#ifdef A\nint x = (;\n#endif\nint y;"],
     "cpp": ["class A { int f() { };", "class A { int x; }\nclass B { int y; };", "class A { int x; }\n\ntemplate <typename T> int f();", "namespace a {", "template <typename T int f();", "int f() { return a <; }", "<!DOCTYPE html>\n<html></html>"],
     "java": ["public class A { int f( { } }", "class A { void f() { x = ; } }", "class A { void f() { g() } }", "#include <x>\nint f() { }", "package a"],
     "javascript": ["function f( { }", "var x = ;", "if (x) { y", "a b", "x = 'abc\n", "x = `a${b", "package a.b;\nclass X { }", "<html></html>"],

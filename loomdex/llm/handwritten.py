@@ -26,7 +26,7 @@ LEAST_LINES, CONTAINED = 8, 0.8
 
 # File names that tools give to what they generate or shrink.
 GENERATED_NAME = re.compile(
-    r"(?:\.(?:pb|pb-c|pb\.\w+|gen|g|generated|autogen|designer|tab|min|bundle)\.[^./]+|_(?:pb2|pb2_grpc|autogen|generated|moc)\.[^./]+|-min\.[^./]+|[a-z]Generated\.[^./]+)$|(?:^|/)(?:Auto_[A-Z]\w*\.java|lex\.\w+\.[^./]+|moc_[^/]+|y\.tab\.[^/]+)$"
+    r"(?:\.(?:pb|pb-c|pb\.\w+|gen|g|generated|autogen|designer|tab|min|bundle)\.[^./]+|_(?:pb2|pb2_grpc|autogen|generated|moc)\.[^./]+|-min\.[^./]+|[a-z]Generated\.[^./]+)$|(?:^|/)(?:Auto_\w+\.java|lex\.\w+\.[^./]+|moc_[^/]+|y\.tab\.[^/]+)$"
 )
 # Directories that hold other people's code, or the output of generators.
 VENDOR_DIR = re.compile(r"(?:^|/)(?:vendor|vendored|third_party|third-party|thirdparty|3rdparty|3rd_party|node_modules|bower_components|external|externals|extern|deps|bundled|contrib/imported|site-packages)/", re.I)

@@ -116,6 +116,7 @@ NOTES = [
     ("./third_party/z/a.c", "int x;", "vendored"),
     ("./a_pb2.py", "x = 1", "generated"),
     ("./a.min.js", None, "generated"),
+    ("./Auto_row_key.java", "class A { }", "generated"),
     ("./a.c", "/* Writes the file that foo reads. The generated output must not be edited. */\nint x;", None),
     ("./a.c", 'int f() { log("This file was generated by foo"); /* This file was generated by foo. */ return 1; }', None),
     ("./a.c", "/* Do not edit the table below without running gen. */\nint x;", None),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomdex.common import written
 from loomdex.functions.paths import is_tag, normal_path
 
 #: Width of the value ranges by which ranks are found in two steps.
@@ -67,9 +68,10 @@ def hot_keys(gtp: DataFrame, share: float = 0.01) -> DataFrame:
 
 def tag_profile(gtp: DataFrame) -> DataFrame:
     """Per tag: records, distinct paths, the path with most records, distinct lines, median and 90th percentile of the line."""
-    rows = records(gtp, "tag", "path", "lineno").filter(is_tag(F.col("tag"))).withColumn("path", normal_path(F.col("path")))
-    by_path = key_stats(compress(rows, "tag", "path")).select(F.col("key").alias("tag"), F.col("n").alias("n_records"), F.col("n_values").alias("n_paths"), F.col("mode").alias("top_path"))
-    lines = compress(rows, "tag", "lineno")
+    tags = lambda col: records(gtp, "tag", col).filter(is_tag(F.col("tag")))
+    paths = compress(tags("path").withColumn("path", normal_path(F.col("path"))), "tag", "path")
+    by_path = key_stats(paths).select(F.col("key").alias("tag"), F.col("n").alias("n_records"), F.col("n_values").alias("n_paths"), F.col("mode").alias("top_path"))
+    lines = written(compress(tags("lineno"), "tag", "lineno"), "lines")  # read three times below
     by_line = key_stats(lines).select(F.col("key").alias("tag"), F.col("n_values").alias("n_lines"), F.col("mode").alias("top_line"))
     ranks = key_percentiles(lines, (0.5, 0.9)).select(F.col("key").alias("tag"), F.col("p50").alias("line_p50"), F.col("p90").alias("line_p90"))
     return by_path.join(by_line, "tag").join(ranks, "tag", "left")

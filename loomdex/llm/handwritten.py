@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from loomdex.common import written
 from loomdex.functions.paths import normal_path
-from loomdex.llm.syntax import language
+from loomdex.sources.languages import language_in
 
 #: A line of fewer characters says nothing about its origin.
 LINE_CHARS = 16
@@ -169,7 +169,7 @@ def not_handwritten(files: DataFrame, params: DataFrame) -> DataFrame:
     Repeated rows count once; null paths are left out. Each text goes through one task by itself."""
     paths = files.filter(F.col("path").isNotNull()).groupBy("path").agg(F.max(F.when(F.col("kind").isNotNull(), F.col("kind") == "source")).alias("source"), F.max("lang").alias("lang"), F.min("repo").alias("repo"), F.min("mtime").alias("born"))
     paths = paths.withColumn("norm", normal_path(F.col("path")))
-    texts = params.select(normal_path(F.col("file")).alias("norm"), "content", language(F.col("file"), F.col("langmap")).alias("of")).filter("norm IS NOT NULL")
+    texts = params.select(normal_path(F.col("file")).alias("norm"), "content", language_in(F.col("file"), F.col("langmap")).alias("of")).filter("norm IS NOT NULL")
     rows = paths.join(texts, "norm", "left").filter(F.coalesce("source", F.coalesce("lang", "of").isNotNull()))
     rows = rows.select("path", "repo", "born", "content", F.coalesce("of", "lang").alias("lang")).repartition("path")
     said = rows.select("path", "content", "lang").mapInArrow(_kinds, "path string, kind string").filter("kind IS NOT NULL").distinct()

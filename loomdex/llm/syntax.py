@@ -9,18 +9,17 @@ from functools import cache
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.functions.paths import normal_path
 from loomdex.llm.gll import END, Grammar
 from loomdex.llm.grammars import GRAMMARS
 from loomdex.llm.lexers import LEXERS
+from loomdex.sources.languages import language_in
 
 #: Characters of source in one task; a megabyte takes some seconds.
 TASK_CHARS = 1 << 20
-#: The map of a file without one.
-DEFAULT_MAP = "c:.c"
 #: Texts whose verdict a worker remembers.
 REMEMBERED = 4096
 
@@ -41,14 +40,6 @@ def well_formed(lang: str, text: str) -> bool:
     return readings is not None and any(g.accepts(items, r + [END]) for r in readings)
 
 
-def language(file: Column, langmap: Column) -> Column:
-    """First language of the map, from left to right, that lists the file's suffix; null if none does. Case matters."""
-    suffix = F.regexp_extract(file, r"[^/](\.[^./]+)$", 1)
-    entries = F.split(F.coalesce(langmap, F.lit(DEFAULT_MAP)), ",")
-    fits = F.filter(entries, lambda e: F.contains(F.concat(F.substring_index(e, ":", -1), F.lit(".")), F.concat(suffix, F.lit("."))))
-    return F.when(suffix != "", F.substring_index(F.get(fits, 0), ":", 1))
-
-
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: OrderedDict[tuple[str, bytes], bool] = OrderedDict()
 
@@ -72,7 +63,7 @@ def checked(params: DataFrame, languages: DataFrame) -> DataFrame:
     parsed in one task, which knows its texts again. Records are dealt by param_id to tasks of about TASK_CHARS, so no
     repository or language makes a task larger. Texts are parsed whole."""
     names = F.broadcast(languages.select(F.col("lang_name").alias("lang")).distinct())  # the languages a map may name
-    rows = params.filter(F.length("content") > 0).select("param_id", language(F.col("file"), F.col("langmap")).alias("lang"), "content", "file").join(names, "lang", "left_semi")
+    rows = params.filter(F.length("content") > 0).select("param_id", language_in(F.col("file"), F.col("langmap")).alias("lang"), "content", "file").join(names, "lang", "left_semi")
     chars = rows.agg(F.sum(F.length("content").cast("long"))).first()[0] or 0
     tasks = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(chars / TASK_CHARS))
     kind = rows.schema["param_id"].dataType.simpleString()

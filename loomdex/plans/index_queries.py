@@ -14,7 +14,7 @@ from loomdex.operators import grep, incremental, reports, search
 from loomdex.plans.general import sql_norm, sql_tag
 from loomdex.parsers import tables
 from loomdex.sources import index
-from loomdex.sources.languages import LANGUAGE_MAP, language_of, skipped
+from loomdex.sources.languages import LANGUAGE_MAP, language_in, language_of, skipped
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -273,7 +273,7 @@ query(
 # --- parsers: no SQL for them ---
 def _parsed(s: SparkSession, d: str) -> DataFrame:
     p = table(s, d, "parser_param").filter((F.length("content") > 0) & F.col("file").isNotNull()).dropDuplicates(["param_id"])
-    rows = p.select(F.concat(F.lit("./"), normal_path(F.col("file"))).alias("path"), language_of(F.col("file")).alias("lang"), "content")
+    rows = p.select(F.concat(F.lit("./"), normal_path(F.col("file"))).alias("path"), language_in(F.col("file"), F.col("langmap")).alias("lang"), "content")
     return tables.parse_files(rows.filter("lang IS NOT NULL").repartition(F.col("path")))
 
 

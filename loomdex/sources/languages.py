@@ -13,6 +13,9 @@ from loomdex.functions.text import base_name
 #: The default map (fixed values): languages with suffixes, and globs in parentheses.
 DEFAULT = "c:.c.h,yacc:.y,asm:.s.S,java:.java,cpp:.c++.cc.hh.cpp.cxx.hxx.hpp.C.H,php:.php.php3.phtml"
 
+#: The map of a file that comes without one.
+NO_MAP = "c:.c"
+
 
 def glob_regex(glob: str) -> str:
     """A shell pattern as a regular expression for one path component."""
@@ -60,6 +63,14 @@ def language_of(path: Column, text: str = DEFAULT) -> Column:
     return reduce(lambda rest, x: F.when(base.rlike(_pattern(x[1])), x[0]).otherwise(rest), reversed(merge_map(text)), F.lit(None).cast("string"))
 
 
+def language_in(file: Column, langmap: Column) -> Column:
+    """First language of the row's own map, from left to right, that lists the file's suffix; null if none does. Case matters."""
+    suffix = F.regexp_extract(file, r"[^/](\.[^./]+)$", 1)
+    entries = F.split(F.coalesce(langmap, F.lit(NO_MAP)), ",")
+    fits = F.filter(entries, lambda e: F.contains(F.concat(F.substring_index(e, ":", -1), F.lit(".")), F.concat(suffix, F.lit("."))))
+    return F.when(suffix != "", F.substring_index(F.get(fits, 0), ":", 1))
+
+
 def source_pattern(text: str = DEFAULT) -> str:
     """One expression for every path that has a language."""
     return "/(" + "|".join(_pattern(items)[2:-2] for _, items in merge_map(text)) + ")$"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loomdex.functions import formats
 from loomdex.operators import grep, incremental, reports, search
 from loomdex.parsers import symbols, tables
+from loomdex.plans import index_queries
 from loomdex.sources import catalog, listing
 from loomdex.sources.index import split_lines
 from loomdex.streaming import feed
@@ -88,6 +89,16 @@ def test_parsers():
     assert symbols.parse("c", "") == symbols.parse(None, "x") == [] and all(symbols.parse(x, "{{{((('\"/*") is not None for x in symbols.PARSERS)
 
 
+def test_language_of_the_record_map(spark, tmp_path):
+    maps = "cpp:.h.cc,c:.c.inc,asm:.asm"
+    recs = [(1, "/a/x.inc", maps, "int f() { return 1; }\n"), (2, "/a/y.asm", maps, "ENTRY(g)\n"), (3, "/a/z.h", maps, "namespace n { class K { int m() { return 1; } }; }\n")]
+    recs += [(4, "/a/w.c", None, "int h() { return 1; }\n"), (5, "/a/v.h", None, "int no() { return 1; }\n"), (6, "/a/u.cpp", maps, "int no() { return 1; }\n")]
+    rows = [(i, f, m, 0, t) for i, f, m, t in recs]
+    spark.createDataFrame(rows, "param_id long, file string, langmap string, flags int, content string").write.parquet(f"{tmp_path}/parser_param.parquet")
+    got = {x.tag for x in index_queries.QUERIES["parse_definitions"](spark, str(tmp_path)).collect()}
+    assert got == {"f", "g", "n", "K", "m", "h"}
+
+
 def test_udtf(spark, project):
     tables.register_udtf(spark)
     project[0].createOrReplaceTempView("project_files")

@@ -19,6 +19,9 @@ OPENERS, CLOSERS, PART_ENDS = {"(", "[", "{", "INDENT"}, {")", "]", "}", "DEDENT
 LONGEST, REMEMBERED, DEPTH = 96, 50_000, 60
 #: Texts of more tokens have their long lists shortened first.
 MANY = 20_000
+#: Bracket pairs, and what an element that is shortened doesn't hold outside them: it may open or close something, or end it.
+PAIRS = {"(": ")", "[": "]", "{": "}"}
+ENTANGLED = {"<", ">", "?", "lambda", ";", "NEWLINE", "INDENT", "DEDENT", "%%", "%{", "%}"}
 _LIST = re.compile(r"(?<!\S)((?:[^\s,]+ ){1,8}, )\1{3,}")
 _PART = re.compile(r"\s*(NOT\['[^']*'\]|'[^']*'|[A-Za-z_]\w*|[|()*+?=;])")
 
@@ -251,11 +254,61 @@ class Grammar:
                 break
         return list(got), far
 
+    @staticmethod
+    def apart(element: list[str]) -> tuple[bool, bool]:
+        """Whether an element of a list is whole in itself, and whether it holds a colon outside brackets."""
+        stack, colon = [], False
+        for t in element:
+            if t in PAIRS:
+                stack.append(PAIRS[t])
+            elif t in CLOSERS:
+                if not stack or stack.pop() != t:
+                    return False, colon
+            elif not stack:
+                if t in ENTANGLED:
+                    return False, colon
+                colon |= t == ":"
+        return not stack, colon
+
+    @staticmethod
+    def choosing(tokens: list[str]) -> list[bool]:
+        """For each place whether, at its depth of brackets, a conditional or a lambda waits for its colon."""
+        out, stack = [], [0]
+        for t in tokens:
+            out.append(stack[-1] > 0)
+            if t in OPENERS:
+                stack.append(0)
+            elif t in CLOSERS:
+                if len(stack) > 1:
+                    stack.pop()
+            elif t in ("?", "lambda"):
+                stack[-1] += 1
+            elif t == ":" and stack[-1]:
+                stack[-1] -= 1
+            elif t in (";", "NEWLINE"):
+                stack[-1] = 0
+        return out
+
     @staticmethod
     def shortened(tokens: list[str]) -> list[str]:
         """A list that repeats one form of element more than four times repeats it three times: no rule counts elements,
-        so what accepts the one accepts the other. A table of a million numbers then needs no stack of that size."""
-        return _LIST.sub(r"\1\1\1", " ".join(tokens)).split(" ")
+        so what accepts the one accepts the other. A table of a million numbers then needs no stack of that size.
+
+        That holds for elements that are whole in themselves only. Where an element opens or closes what another closes or
+        opened (a bracket, a conditional), as in nested calls, all stay."""
+        text, choosing, at, place = " ".join(tokens), None, 0, 0
+
+        def put(m: re.Match) -> str:
+            nonlocal choosing, at, place
+            whole, colon = Grammar.apart(m[1].split())
+            if whole and colon:
+                if choosing is None:
+                    choosing = Grammar.choosing(tokens)
+                at, place = m.start(), place + text.count(" ", at, m.start())
+                whole = not choosing[place]
+            return m[1] * 3 if whole else m[0]
+
+        return _LIST.sub(put, text).split(" ")
 
     def accepts(self, items: tuple[str, ...], tokens: list[str]) -> bool:
         """Whether tokens (ending with END) are a sequence of items, one of the rules each.

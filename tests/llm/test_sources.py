@@ -78,6 +78,22 @@ def test_long_tables_and_nests():
     assert well_formed("c", "int x = " + "(" * 300 + "1" + ")" * 300 + ";")
 
 
+def test_nests_in_texts_of_many_tokens():
+    def both(lang, good, bad):
+        for n in (1, 2_000):
+            filler = "x = 1\n" * 15 * n if lang == "python" else "int x = 1;\n" * 5 * n
+            assert well_formed(lang, filler + good) and not well_formed(lang, filler + bad)
+
+    both("c", "int f() { return max(a, max(b, max(c, max(d, max(e, 1))))); }", "int f() { return max(a, max(b, max(c, max(d, max(e, 1)))); }")
+    both("c", "int y = f(f(f(f(f(1), 1), 1), 1), 1);", "int y = f(f(f(f(1), 1), 1), 1), 1);")
+    both("c", "int y = q ? a, q ? a, q ? a, q ? a, q ? a : b : b : b : b : b;", "int y = q ? a, q ? a, q ? a, q ? a, q ? a : b : b : b : b;")
+    both("c", "int y = q ? q ? q ? q ? q ? a : b, a : b, a : b, a : b, a : b;", "int y = (q ? q ? q ? q ? a : b, a : b, a : b, a : b, a : b);")
+    both("cpp", "map<a, map<a, map<a, map<a, map<a, b>>>>> y;", "map<a, map<a, map<a, map<a, map<a, b>>>>>> y;")
+    both("python", "y = lambda p=lambda p=lambda p=lambda p=lambda: 1, q=1: 1, q=1: 1, q=1: 1, q=1: 1\n", "y = lambda p=lambda p=lambda p=lambda: 1, q=1: 1, q=1: 1, q=1: 1, q=1: 1\n")
+    table = ["NUM", ",", "(", "NUM", ")", ","] + ["ID", ":", "ID", "(", ")", ","] * 9 + ["NUM"]
+    assert Grammar.shortened(table) == table[:6] + table[6:12] * 3 + ["NUM"]
+
+
 def test_python_against_its_own_parser(spark, data):
     p = table(spark, data, "parser_param").filter("file LIKE '%.py' AND content <> ''").select("content").distinct().collect()
     for (text,) in p:

@@ -10,17 +10,20 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdex.common import written
 from loomdex.functions.paths import normal_path
+from loomdex.functions.text import base_name
 from loomdex.sources.languages import language_in
 
 #: A line of fewer characters says nothing about its origin.
 LINE_CHARS = 16
-#: A line is rare in at most this many texts, or this share of all, if that is more.
+#: A line is rare in at most this many texts or names of texts, or this share of all texts, if that is more.
 RARE_TEXTS, RARE_SHARE = 64, 1e-4
+#: Repositories of a line that are asked first.
+EARLIEST = 64
 #: Rare lines a text needs to be judged by them, and the share of them another repository must hold.
 LEAST_LINES, CONTAINED = 8, 0.8
 
@@ -135,30 +138,46 @@ def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def copies(texts: DataFrame) -> DataFrame:
-    """(path, kind 'copy'): texts of (path, repo, born, content) whose rare lines another repository held before.
+    """(path, kind 'copy'): texts of (path, repo, born, content) that another repository held before, in whole or by their rare lines.
 
     Lines are trimmed, their blanks made single; lines under LINE_CHARS are left out. Texts with the same lines in the same order count as
-    one, so a file copied a thousand times is as rare as its one text. Of a line that is rare the index has the repositories, each
+    one, so a file copied a thousand times is as rare as its one text. A line is rare if few texts hold it or if its texts have few base
+    names (of one text the least), so copies with an edit each, however many, leave their lines rare, while what stands in files of all
+    names does not. Of a line that is rare the index has the repositories, each
     with the earliest birth of a text there that holds it. A text is a copy if one other repository holds at least
     CONTAINED of its LEAST_LINES or more rare lines, all in texts born earlier (of those born at the same time the lesser repository's
-    is the first). The containment is exact: all rare lines are counted. No two files meet: a line joins its texts
-    with its repositories, and a line in most files is dropped by a mergeable count before that. Texts without a birth count as born last."""
+    is the first), or, whatever lines it has of LINE_CHARS, the whole text, line ends aside. The containment is exact: all rare
+    lines are counted. Of a line's repositories the EARLIEST are asked first, and all of them only for the texts not found so.
+    No two files meet: a line joins its texts with its repositories, and a line in most files is dropped by a mergeable count
+    before that. Texts without a birth count as born last."""
     lines = F.filter(F.transform(F.split("content", r"\r\n|\r|\n"), lambda x: F.regexp_replace(F.trim(x), r"\s+", " ")), lambda x: F.length(x) >= LINE_CHARS)
-    rows = texts.filter(F.length("content") > 0).select("path", "repo", F.coalesce("born", F.lit("9999-12-31").cast("timestamp_ntz")).alias("born"), lines.alias("lines"))
+    whole = F.md5(F.encode(F.regexp_replace("content", r"\r\n|\r", "\n"), "utf-8"))
+    rows = texts.filter(F.length("content") > 0).select("path", "repo", F.coalesce("born", F.lit("9999-12-31").cast("timestamp_ntz")).alias("born"), whole.alias("whole"), lines.alias("lines"))
     rows = rows.withColumn("text", F.md5(F.encode(F.array_join("lines", "\n"), "utf-8"))).withColumn("h", F.transform(F.array_distinct("lines"), lambda x: F.xxhash64(x))).drop("lines")
     rows = written(rows, "lines")  # read several times below; hashes only
     held = rows.select("text", "repo", "born", F.explode("h").alias("h")).groupBy("text", "repo", "h").agg(F.min("born").alias("born"))
+    one = rows.groupBy("text").agg(F.min("repo").alias("a"), F.max("repo").alias("b"), F.min(F.xxhash64(F.lower(base_name(F.col("path"))))).alias("name"), F.any_value("h").alias("h"))
     n = rows.select("text").distinct().agg(F.count("*").alias("n")).select(F.greatest(F.lit(RARE_TEXTS), F.col("n") * RARE_SHARE)).scalar()
-    stats = rows.select("text", "repo", F.explode("h").alias("h")).groupBy("h", "text").agg(F.min("repo").alias("a"), F.max("repo").alias("b"))
-    stats = stats.groupBy("h").agg(F.count("*").alias("df"), F.min("a").alias("a"), F.max("b").alias("b")).filter(F.col("df") <= n)
+    stats = one.select("a", "b", "name", F.explode("h").alias("h")).groupBy("h", "name").agg(F.count("*").alias("df"), F.min("a").alias("a"), F.max("b").alias("b"))
+    stats = stats.groupBy("h").agg(F.sum("df").alias("df"), F.count("*").alias("names"), F.min("a").alias("a"), F.max("b").alias("b")).filter((F.col("df") <= n) | (F.col("names") <= n))
     index = held.join(stats.select("h", (F.col("a") != F.col("b")).alias("several")), "h")
-    totals = index.groupBy("text", "repo").agg(F.count("*").alias("lines"))
+    totals = index.groupBy("text", "repo").agg(F.count("*").alias("lines")).filter(F.col("lines") >= LEAST_LINES)
     shared = written(index.filter("several").drop("several"), "shared")
-    other = shared.groupBy("h", F.col("repo").alias("other")).agg(F.min("born").alias("first"))
-    hits = shared.join(other, "h").filter((F.col("repo") != F.col("other")) & (F.struct("first", "other") < F.struct("born", "repo")))
-    best = hits.groupBy("text", "repo", "other").agg(F.count("*").alias("held")).join(totals, ["text", "repo"])
-    best = best.filter((F.col("lines") >= LEAST_LINES) & (F.col("held") >= F.col("lines") * CONTAINED)).select("text", "repo").distinct()
-    return rows.select("path", "repo", "text").join(best, ["text", "repo"], "left_semi").select("path", F.lit("copy").alias("kind")).distinct()
+    other = shared.filter("repo IS NOT NULL").groupBy("h", F.col("repo").alias("other")).agg(F.min("born").alias("first"))
+    other = written(other.withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy("first", "other"))), "other")
+
+    def found(lines: DataFrame, repos: DataFrame) -> DataFrame:
+        hits = lines.join(repos, "h").filter((F.col("repo") != F.col("other")) & (F.struct("first", "other") < F.struct("born", "repo")))
+        best = hits.groupBy("text", "repo", "other").agg(F.count("*").alias("held")).join(totals, ["text", "repo"])
+        return best.filter(F.col("held") >= F.col("lines") * CONTAINED).select("text", "repo").distinct()
+
+    best = written(found(shared, other.filter(F.col("rank") <= EARLIEST)), "best")
+    late = shared.join(other.filter(F.col("rank") == EARLIEST + 1).select("h"), "h", "left_semi").select("text", "repo").distinct().join(best, ["text", "repo"], "left_anti")
+    best = best.unionByName(found(shared.join(late, ["text", "repo"], "left_semi"), other))
+    same = rows.filter((F.size("h") > 0) & F.col("repo").isNotNull()).select("path", "repo", "born", "whole")
+    first = same.groupBy("whole").agg(F.min("repo").alias("a"), F.max("repo").alias("b"), F.min(F.struct("born", "repo")).alias("first")).filter("a <> b")
+    same = same.join(first, "whole").filter(F.col("first.repo") != F.col("repo")).select("path")
+    return rows.select("path", "repo", "text").join(best, ["text", "repo"], "left_semi").select("path").unionByName(same).select("path", F.lit("copy").alias("kind")).distinct()
 
 
 def not_handwritten(files: DataFrame, params: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import ast
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomdex.common import table
 from loomdex.llm import frequency, handwritten, queries, syntax
@@ -165,6 +166,22 @@ def test_copies_between_repositories(rows):
     assert got == ["./b/x.c"]
 
 
+@pytest.mark.parametrize("earliest", [64, 1])
+def test_many_edited_and_short_copies(rows, monkeypatch, earliest):
+    monkeypatch.setattr(handwritten, "EARLIEST", earliest)
+    lib = [f"int lib_function_number_{i}(void);" for i in range(20)]
+    lines = {f"r{k:02}": lib[: k % 20] + [f"int an_edit_of_repository_{k}(void);"] + lib[k % 20 + 1 :] for k in range(80)}
+    recs = [(f"/{r}/zip.c", r, f"2025-01-{1 + k // 4:02}", "\n".join(x)) for k, (r, x) in enumerate(lines.items())]
+    # a text of lines that stand under all names is none
+    recs += [(f"/{r}/file{k}.c", r, "2025-01-01", "\n".join(f"int usual_line_number_{i}(void);" for i in range(12)) + f"\nint a_line_of_{r}_alone(void);") for k, r in enumerate(lines)]
+    # nobody before held all of this but by two repositories together; the second to hold it all has one edit
+    late = [f"int late_function_number_{i}(void);" for i in range(20)]
+    recs += [(f"/x{k}/late.c", f"x{k}", f"2025-02-0{k + 1}", "\n".join(x)) for k, x in enumerate([late[:10], late[10:], late, ["int a_late_line_of_its_own(void);", *late[1:]]])]
+    recs += [("/s/short.c", "s", "2025-01-02", "int short_text(void);\r\nx\r\n"), ("/t/short.c", "t", "2025-01-03", "int short_text(void);\nx\n"), ("/t/other.c", "t", "2025-01-03", "int short_text(void);\ny\n"), (None, None, None, "int short_text(void);\nx\n"), ("/s/tiny.c", "s", "2025-01-02", "x"), ("/t/tiny.c", "t", "2025-01-03", "x")]
+    got = {x.path for x in handwritten.copies(rows(recs, "path string, repo string, born timestamp, content string").withColumn("born", F.col("born").cast("timestamp_ntz"))).collect()}
+    assert got == {f"/{r}/zip.c" for r in lines if r != "r00"} | {"/x3/late.c", "/t/short.c"}
+
+
 def test_paths_nulls_and_repeats(rows):
     gen = "/* Generated by t 1.0 from x.y */\nint x;"
     f = [(1, "./r/a.c", "source", "c", "r", "2025-01-01", 0), (1, "./r/a.c", "source", "c", "r", "2025-01-01", 0), (2, "./r/b.txt", "other", None, "r", None, 0), (3, "./r/n.c", None, None, "r", None, 0), (4, "./r/q.min.js", "source", "javascript", "r", None, 0), (5, None, "source", "c", None, None, 0), (6, "./r/h.c", "source", None, "r", None, 0)]

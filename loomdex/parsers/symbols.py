@@ -10,6 +10,8 @@ import re
 from collections.abc import Callable, Iterator
 
 DEF, REF = 1, 2
+#: Flags of a parse request: in C, C++ and yacc a closing brace in column 0 ends, an opening one begins the outermost block.
+END_BLOCK, BEGIN_BLOCK = 8, 16
 Event = tuple[int, str, int]
 Token = tuple[str, str, int]  # kind (w word, p punctuation, d directive, s string, v variable), text, line
 
@@ -65,8 +67,14 @@ def _close(t: list[Token], i: int, a: str, b: str) -> int:
 class _CLike:
     """C and C++ in one pass over the tokens; the stack of open braces tells what may be defined where."""
 
-    def __init__(self, text: str, words: set[str], cpp: bool) -> None:
+    def __init__(self, text: str, words: set[str], cpp: bool, flags: int = 0) -> None:
         self.t, self.words, self.cpp, self.out = list(_tokens(text, _C)), words, cpp, []
+        self.begins, self.ends = set(), set()  # braces in column 0 that force the level
+        if flags & (BEGIN_BLOCK | END_BLOCK):
+            at = [m for m in _C.finditer(text) if m.lastgroup not in ("skip", "line")]
+            first = [i for i, m in enumerate(at) if m[0] in ("{", "}") and (not m.start() or text[m.start() - 1] == "\n")]
+            self.begins = {i for i in first if flags & BEGIN_BLOCK and self.t[i][1] == "{"}
+            self.ends = {i for i in first if flags & END_BLOCK and self.t[i][1] == "}"}
 
     def put(self, kind: int, i: int) -> None:
         self.out.append((kind, self.t[i][1], self.t[i][2]))
@@ -85,11 +93,15 @@ class _CLike:
                 continue
             outer = all(k in ("space", "class") for k, _ in stack)
             if x == "{":
+                if i in self.begins:
+                    self.force(stack)
                 stack.append(want or ("body", ""))
                 want = None
             elif x == "}":
                 if stack:
                     stack.pop()
+                if i in self.ends:
+                    self.force(stack)
                 want = None
             elif x == ";":
                 want = None
@@ -132,6 +144,10 @@ class _CLike:
             i += 1
         return self.out
 
+    def force(self, stack: list) -> None:
+        """Level 0: what is open but name spaces and linkage blocks, which have no level, is closed."""
+        stack[:] = [x for x in stack if x[0] == "space"]
+
     def directive(self, x: str, line: int, stack: list, saved: list) -> None:
         found = _macro(x)
         if not found:
@@ -218,15 +234,15 @@ class _CLike:
         return names
 
 
-def parse_c(text: str) -> list[Event]:
+def parse_c(text: str, flags: int = 0) -> list[Event]:
     """Functions, macros (also where they are undefined), tags of structures, unions and enumerations with a body,
     enumerators and typedef names are definitions. Members are not."""
-    return _CLike(text, C_WORDS, False).run()
+    return _CLike(text, C_WORDS, False, flags).run()
 
 
-def parse_cpp(text: str) -> list[Event]:
+def parse_cpp(text: str, flags: int = 0) -> list[Event]:
     """As C, with classes, namespaces, aliases and methods with a body; constructors and destructors are no definitions."""
-    return _CLike(text, CPP_WORDS, True).run()
+    return _CLike(text, CPP_WORDS, True, flags).run()
 
 
 def parse_java(text: str) -> list[Event]:
@@ -299,9 +315,15 @@ def register(lang: str, parser: Callable[[str], list[Event]]) -> None:
     PARSERS[lang] = parser
 
 
-def parse(lang: str | None, text: str) -> list[tuple[int, str, int, str]]:
+#: Parsers that take the flags.
+FLAGGED = {parse_c, parse_cpp}
+
+
+def parse(lang: str | None, text: str, flags: int | None = 0) -> list[tuple[int, str, int, str]]:
     """(kind, tag, lineno, image) of a text; languages without a parser have none. Tags of 512 bytes and more are dropped."""
     if lang not in PARSERS or not text:
         return []
     lines = text.replace("\r\n", "\n").split("\n")
-    return [(k, tag, n, lines[n - 1]) for k, tag, n in PARSERS[lang]("\n".join(lines)) if 0 < len(tag.encode()) < 512]
+    run = PARSERS[lang]
+    events = run("\n".join(lines), flags or 0) if run in FLAGGED else run("\n".join(lines))
+    return [(k, tag, n, lines[n - 1]) for k, tag, n in events if 0 < len(tag.encode()) < 512]

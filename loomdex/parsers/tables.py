@@ -17,8 +17,8 @@ EVENT = "kind int, tag string, lineno int, image string"
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, rows = [], []
-        for i, (lang, text) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-            events = parse(lang, text or "")
+        for i, (lang, text, flags) in enumerate(zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True)):
+            events = parse(lang, text or "", flags)
             ids += [i] * len(events)
             rows += events
         cols = list(zip(*rows, strict=True)) or [[], [], [], []]
@@ -27,9 +27,10 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def parse_files(df: DataFrame) -> DataFrame:
-    """(path, kind, tag, lineno, image) of every symbol in rows of (path, lang, content); a file stays in one task. Null
-    texts and languages without a parser give no rows."""
-    return df.select("path", "lang", "content").mapInArrow(_run, f"path string, {EVENT}")
+    """(path, kind, tag, lineno, image) of every symbol in rows of (path, lang, content) and, if there, flags; a file
+    stays in one task. Null texts and languages without a parser give no rows; null flags are none."""
+    flags = F.col("flags") if "flags" in df.columns else F.lit(0).alias("flags")
+    return df.select("path", "lang", "content", flags).mapInArrow(_run, f"path string, {EVENT}")
 
 
 def definitions_of(events: DataFrame) -> DataFrame:
@@ -44,10 +45,10 @@ def references_of(events: DataFrame) -> DataFrame:
 
 
 class ParseSymbols:
-    """SQL: ``SELECT * FROM files, LATERAL parse_symbols(lang, content)``."""
+    """SQL: ``SELECT * FROM files, LATERAL parse_symbols(lang, content)``, with the flags as a third argument."""
 
-    def eval(self, lang: str, content: str):
-        yield from parse(lang, content or "")
+    def eval(self, lang: str, content: str, flags: int = 0):
+        yield from parse(lang, content or "", flags)
 
 
 def register_udtf(spark: SparkSession, name: str = "parse_symbols") -> None:

@@ -273,7 +273,7 @@ query(
 # --- parsers: no SQL for them ---
 def _parsed(s: SparkSession, d: str) -> DataFrame:
     p = table(s, d, "parser_param").filter((F.length("content") > 0) & F.col("file").isNotNull()).dropDuplicates(["param_id"])
-    rows = p.select(F.concat(F.lit("./"), normal_path(F.col("file"))).alias("path"), language_in(F.col("file"), F.col("langmap")).alias("lang"), "content")
+    rows = p.select(F.concat(F.lit("./"), normal_path(F.col("file"))).alias("path"), language_in(F.col("file"), F.col("langmap")).alias("lang"), "content", "flags")
     return tables.parse_files(rows.filter("lang IS NOT NULL").repartition(F.col("path")))
 
 

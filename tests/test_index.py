@@ -99,6 +99,26 @@ def test_language_of_the_record_map(spark, tmp_path):
     assert got == {"f", "g", "n", "K", "m", "h"}
 
 
+def test_flags_force_the_level(spark, tmp_path):
+    text = "int f()\n{\n if (x) {\n}\n\nint g()\n{\n return 1;\n}\n"
+    late = "int f() {\n if (x) {\n\nint k;\n{\n }\n}\nint g() { return 1; }\n"
+
+    def defs(lang, t, flags):
+        return [x[1] for x in symbols.parse(lang, t, flags) if x[0] == symbols.DEF]
+
+    for lang in ("c", "cpp", "yacc"):
+        assert defs(lang, text, 0) == defs(lang, text, None) == defs(lang, text, 4) == ["f"] and defs(lang, text, 8) == ["f", "g"]
+        assert defs(lang, late, 0) == ["f"] and defs(lang, late, 16) == ["f", "g"]
+    # name spaces have no level
+    inside = "namespace n {\nint f()\n{\n if (x) {\n}\nint g()\n{\n}\n}\n"
+    assert defs("cpp", inside, 0) == ["n", "f"] and defs("cpp", inside, 8) == ["n", "f", "g"]
+    spark.createDataFrame([(1, "a.c", None, 8, text), (2, "b.c", None, None, text)], "param_id long, file string, langmap string, flags int, content string").write.parquet(f"{tmp_path}/parser_param.parquet")
+    got = sorted((x.path, x.tag) for x in index_queries.QUERIES["parse_definitions"](spark, str(tmp_path)).collect())
+    assert got == [("./a.c", "f"), ("./a.c", "g"), ("./b.c", "f")]
+    tables.register_udtf(spark)
+    assert [x.tag for x in spark.sql(f"SELECT tag FROM (SELECT content AS t FROM parquet.`{tmp_path}/parser_param.parquet` WHERE param_id = 1), LATERAL parse_symbols('c', t, 8) WHERE kind = 1").collect()] == ["f", "g"]
+
+
 def test_udtf(spark, project):
     tables.register_udtf(spark)
     project[0].createOrReplaceTempView("project_files")

@@ -214,7 +214,7 @@ def visual_form(df: DataFrame, key: str, text: str) -> DataFrame:
 def alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: all pairs of rows whose texts differ as strings but have the same form.
 
-    Null and empty texts, and pairs of equal strings, are no case. Only 128-bit digests of text and form are shuffled.
+    Null and empty texts, and pairs of equal strings, are no case; texts of invisible characters alone look the same. Only 128-bit digests of text and form are shuffled.
     Forms with a single text are dropped by a mergeable aggregate before any join, so copies of a text, however
     many, never meet; the pairs that are left are the result itself."""
     rows = df.filter(F.length(text) > 0).select(F.col(key).alias("id"), F.col(text).alias("text"))
@@ -230,7 +230,7 @@ def alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
 
     same = rows.filter(ascii).select("id", digest(F.col("text")).alias("f"), digest(F.col("text")).alias("t"))
     other = rows.filter(~ascii).select("id", "text", digest(F.col("text")).alias("t")).mapInArrow(made, f"id {kind}, form string, t binary")
-    both = same.unionByName(other.filter(F.length("form") > 0).select("id", digest(F.col("form")).alias("f"), "t"))
+    both = same.unionByName(other.select("id", digest(F.col("form")).alias("f"), "t"))
     hit = both.groupBy("f").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo <> hi").select("f")
     members = both.join(hit, "f", "left_semi").distinct()
     a, b = members.select("f", F.col("id").alias("doc_a"), F.col("t").alias("ta")), members.select("f", F.col("id").alias("doc_b"), F.col("t").alias("tb"))

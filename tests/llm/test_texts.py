@@ -65,6 +65,11 @@ def test_visible_differences_stay(rows):
     assert got == {(1, 2), (1, 10), (2, 10), (2, 11), (10, 11), (6, 7)}
 
 
+def test_texts_of_invisible_characters_alone(rows):
+    d = rows([(1, "\u200b"), (2, "\ufeff"), (3, "\u200b"), (4, ""), (5, None), (6, " ")], "doc_id long, text string")
+    assert sorted(tuple(x) for x in visual.alike_pairs(d, "doc_id", "text").collect()) == [(1, 2), (2, 3)]
+
+
 def test_pairs_with_clashing_columns_and_copies(rows):
     d = rows([(1, "\uff41", 0), (2, "a", 0), (2, "a", 0), (3, "a", 0)], "doc_id long, text string, form int")
     got = sorted(tuple(x) for x in visual.alike_pairs(d, "doc_id", "text").collect())

@@ -216,7 +216,7 @@ def alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
 
     Null and empty texts, and pairs of equal strings, are no case; texts of invisible characters alone look the same. Only 128-bit digests of text and form are shuffled.
     Forms with a single text are dropped by a mergeable aggregate before any join, so copies of a text, however
-    many, never meet; the pairs that are left are the result itself."""
+    many, never meet; pairs of different texts are made first and their ids put in after, so no more rows arise than the result has."""
     rows = df.filter(F.length(text) > 0).select(F.col(key).alias("id"), F.col(text).alias("text"))
     ascii = F.octet_length("text") == F.char_length("text")
     digest = lambda c: F.unhex(F.md5(F.encode(c, "utf-8")))
@@ -233,5 +233,7 @@ def alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     both = same.unionByName(other.select("id", digest(F.col("form")).alias("f"), "t"))
     hit = both.groupBy("f").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo <> hi").select("f")
     members = both.join(hit, "f", "left_semi").distinct()
-    a, b = members.select("f", F.col("id").alias("doc_a"), F.col("t").alias("ta")), members.select("f", F.col("id").alias("doc_b"), F.col("t").alias("tb"))
-    return a.join(b, "f").filter("doc_a < doc_b AND ta <> tb").select("doc_a", "doc_b")
+    texts = members.select("f", "t").distinct()
+    pairs = texts.withColumnRenamed("t", "ta").join(texts.withColumnRenamed("t", "tb"), "f").filter("ta < tb")
+    a, b = members.select("f", F.col("id").alias("a"), F.col("t").alias("ta")), members.select("f", F.col("id").alias("b"), F.col("t").alias("tb"))
+    return pairs.join(a, ["f", "ta"]).join(b, ["f", "tb"]).filter("a <> b").select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"))

@@ -1,6 +1,7 @@
 """Visual forms, encoding and mixing."""
 
 import random
+import time
 import unicodedata
 
 import numpy as np
@@ -70,6 +71,13 @@ def test_texts_of_invisible_characters_alone(rows):
     assert sorted(tuple(x) for x in visual.alike_pairs(d, "doc_id", "text").collect()) == [(1, 2), (2, 3)]
 
 
+def test_copies_of_a_text_do_not_meet(spark):
+    d = spark.range(1, 100_001).selectExpr("id AS doc_id", "if(id = 50000, 'p\u0430y', 'pay') AS text")
+    begun = time.time()
+    got = visual.alike_pairs(d, "doc_id", "text").selectExpr("count(*)", "count_if(doc_a = 50000)", "count_if(doc_b = 50000)").first()
+    assert tuple(got) == (99_999, 50_000, 49_999) and time.time() - begun < 60
+
+
 def test_pairs_with_clashing_columns_and_copies(rows):
     d = rows([(1, "\uff41", 0), (2, "a", 0), (2, "a", 0), (3, "a", 0)], "doc_id long, text string, form int")
     got = sorted(tuple(x) for x in visual.alike_pairs(d, "doc_id", "text").collect())

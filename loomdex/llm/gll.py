@@ -1,8 +1,12 @@
 """A generalised LL recogniser with a graph-structured stack, over grammars written as recursive transition networks.
 
 A grammar is text: ``rule = body ;`` where a body has alternatives (|), groups ( ), repetition (* + ?), quoted terminals,
-token classes in capitals and rule names in small letters. ``NOT[' a b ']`` is any token but those. Rules are compiled to
-automata; several start rules of one grammar (its dialects) run together over one stack, sharing every common rule.
+token classes in capitals and rule names in small letters. ``NOT[' a b ']`` is any token but those, ``GROUP`` any group. ``@name`` in an alternative
+restricts it to the dialect of that name. Rules are compiled to automata; all dialects run together over one stack: every
+descriptor carries the set of dialects that reach it, as bits.
+
+Texts are contracted from the inside out: a group in braces (or an indented block) is recognised by itself and becomes one token that
+says which rules accept it and in which dialects. So the tokens of a statement are few and most statements are known.
 """
 
 from __future__ import annotations
@@ -12,18 +16,18 @@ from collections import defaultdict
 
 END = "<end>"
 #: Rules whose texts are parsed apart and remembered.
-PARTS = {"statement", "unit", "member", "field", "function", "rule"}
+PARTS = {"statement", "unit", "member", "field", "rule"}
 OPENERS, CLOSERS, PART_ENDS = {"(", "[", "{", "INDENT"}, {")", "]", "}", "DEDENT"}, {";", "}", "NEWLINE", "DEDENT"}
-#: Tokens of the longest part that is remembered, parts that are remembered, and how deep they nest at most before the
-#: one stack goes on by itself.
+#: Tokens of the longest part or group that is remembered, how many are, and how deep parts nest at most before the one stack
+#: goes on by itself.
 LONGEST, REMEMBERED, DEPTH = 96, 50_000, 60
-#: Texts of more tokens have their long lists shortened first.
-MANY = 20_000
-#: Bracket pairs, and what an element that is shortened doesn't hold outside them: it may open or close something, or end it.
-PAIRS = {"(": ")", "[": "]", "{": "}"}
-ENTANGLED = {"<", ">", "?", "lambda", ";", "NEWLINE", "INDENT", "DEDENT", "%%", "%{", "%}"}
-_LIST = re.compile(r"(?<!\S)((?:[^\s,]+ ){1,8}, )\1{3,}")
-_PART = re.compile(r"\s*(NOT\['[^']*'\]|'[^']*'|[A-Za-z_]\w*|[|()*+?=;])")
+PAIRS = {"(": ")", "[": "]", "{": "}", "INDENT": "DEDENT"}
+BRACKETS = OPENERS | CLOSERS
+#: Elements at either end of a list that are always kept; no rule tells apart more.
+ENDMOST = 3
+#: What a list element that is taken out doesn't hold outside brackets.
+ENTANGLED = {";", "NEWLINE", "INDENT", "DEDENT", "%%", "%{", "%}"}
+_PART = re.compile(r"\s*(NOT\['[^']*'\]|'[^']*'|@\w+|[A-Za-z_]\w*|[|()*+?=;])")
 
 
 class _Rules:
@@ -75,10 +79,12 @@ class _Rules:
             self.at += 1
         elif p.startswith("NOT["):
             self.moves[x].append(("not", frozenset(p[5:-2].split()), y))
+        elif p[0] == "@":
+            self.moves[x].append(("", p[1:], y))
         elif p[0] == "'":
             self.moves[x].append(("token", p[1:-1], y))
         elif p.isupper():
-            self.moves[x].append(("token", p, y))
+            self.moves[x].append(("token", "@" if p == "GROUP" else p, y))
         else:
             self.moves[x].append(("call", p, y))
         mark = self.parts[self.at]
@@ -92,29 +98,38 @@ class _Rules:
 
 
 class Grammar:
-    """Tables of a grammar: by state and token, what to read and what to call."""
+    """Tables of a grammar: by state and token, what to read and what to call, each with its dialects.
 
-    def __init__(self, text: str) -> None:
+    groups: rules whose texts stand between the brackets ``pair``; ``@rule`` is the token of a group such a rule accepts, ``@`` that of
+    any group. angles: ``<`` and ``>`` are brackets, too, so list elements that hold them stay."""
+
+    def __init__(self, text: str, groups: tuple[str, ...] = (), pair: tuple[str, str] = ("{", "}"), dialects: tuple[str, ...] = ("",), angles: bool = False) -> None:
         g = _Rules(text)
-        near = [self._reach(g.moves, s) for s in range(len(g.moves))]
+        self.groups, self.pair, self.entangled = groups, pair, ENTANGLED | ({"<", ">"} if angles else set())
+        self.all = (1 << len(dialects)) - 1
+        bit = {None: self.all} | {name: 1 << i for i, name in enumerate(dialects)}
+        near = [self._reach(g.moves, s, bit) for s in range(len(g.moves))]
         rule_of = {}
         for name, (a, _) in g.rules.items():
-            todo, seen = [a], set()
+            todo = [a]
             while todo:
                 s = todo.pop()
-                if s not in seen:
-                    seen.add(s)
+                if s not in rule_of:
                     rule_of[s] = name
                     todo += [t for _, _, t in g.moves[s]]
         self.tokens = {END} | {label for s in g.moves for kind, label, _ in s if kind == "token"} | {x for s in g.moves for kind, label, _ in s if kind == "not" for x in label}
         self.words = {t for t in self.tokens if re.fullmatch(r"[A-Za-z_]\w*", t) and not t.isupper()}
-        self.tokens.add("OTHER")
+        self.tokens |= {"OTHER", "@", *("@" + r for r in groups)}
         self.parts = PARTS & set(g.rules)
-        self.known: dict[tuple, tuple[list[int], int]] = {}
+        self.known: dict[tuple, tuple[list[tuple[int, int]], int]] = {}
+        self.grouped: dict[tuple, str] = {}
+        self.made: dict[str, str] = {}
         self.start = {name: a for name, (a, _) in g.rules.items()}
-        self.final = [any(s2 == g.rules[rule_of[s]][1] for s2 in near[s]) if s in rule_of else False for s in range(len(g.moves))]
-        moves = [[m for x in near[s] for m in g.moves[x] if m[0]] for s in range(len(g.moves))]
+        self.final = [near[s].get(g.rules[rule_of[s]][1], 0) if s in rule_of else 0 for s in range(len(g.moves))]
+        moves = [[(kind, label, t, mask) for x, mask in near[s].items() for kind, label, t in g.moves[x] if kind] for s in range(len(g.moves))]
         first: dict[str, set[str]] = defaultdict(set)
+        for r in groups:
+            first[r].add("@" + r)
         empty: set[str] = set()
         changed = True
         heads = lambda kind, label: {label} if kind == "token" else self.tokens - label - {END} if kind == "not" else first[label]
@@ -127,7 +142,7 @@ class Grammar:
                     if self.final[s] and name not in empty:
                         empty.add(name)
                         changed = True
-                    for kind, label, t in moves[s]:
+                    for kind, label, t, _ in moves[s]:
                         got |= heads(kind, label)
                         if kind == "call" and label in empty and t not in seen:
                             seen.add(t)
@@ -135,29 +150,116 @@ class Grammar:
                 if not got <= first[name]:
                     first[name] |= got
                     changed = True
-        self.read: list[dict[str, tuple[int, ...]]] = []
-        self.calls: list[dict[str, tuple[tuple[str, int], ...]]] = []
+        self.before = self._before(g, empty)
+        self.read: list[dict[str, tuple[tuple[int, int], ...]]] = []
+        self.calls: list[dict[str, tuple[tuple[str, int, int], ...]]] = []
         for s in range(len(moves)):
             read, calls = defaultdict(list), defaultdict(list)
-            for kind, label, t in dict.fromkeys(moves[s]):
+            for kind, label, t, mask in dict.fromkeys(moves[s]):
                 if kind == "call":
                     for x in self.tokens if label in empty else first[label]:
-                        calls[x].append((label, t))
+                        if x == "@" + label:
+                            read[x].append((t, mask))
+                        else:
+                            calls[x].append((label, t, mask))
                 else:
                     for x in heads(kind, label):
-                        read[x].append(t)
+                        read[x].append((t, mask))
             self.read.append({k: tuple(v) for k, v in read.items()})
             self.calls.append({k: tuple(v) for k, v in calls.items()})
 
     @staticmethod
-    def _reach(moves: list, s: int) -> list[int]:
-        todo, seen = [s], [s]
+    def _reach(moves: list, s: int, bit: dict) -> dict[int, int]:
+        """The states reached without a token, and in which dialects."""
+        out, todo = {s: bit[None]}, [s]
         while todo:
-            for kind, _, t in moves[todo.pop()]:
-                if not kind and t not in seen:
-                    seen.append(t)
+            x = todo.pop()
+            for kind, label, t in moves[x]:
+                if not kind and (mask := out[x] & bit[label]) & ~out.get(t, 0):
+                    out[t] = out.get(t, 0) | mask
                     todo.append(t)
-        return seen
+        return out
+
+    def _before(self, g: _Rules, empty: set[str]) -> dict[str, tuple[str, ...]]:
+        """By token (or none, at the begin) the group rules whose text may follow it; by ``@`` those that may follow a group."""
+        prev: list[set[str]] = [set() for _ in g.moves]
+        for a, _ in g.rules.values():
+            prev[a].add("")
+        changed = True
+        while changed:
+            changed = False
+            for s, moves in enumerate(g.moves):
+                for kind, label, t in moves:
+                    if kind == "token":
+                        got = {label}
+                    elif kind == "not":
+                        got = self.tokens - label
+                    elif kind == "call":
+                        a, z = g.rules[label]
+                        if not prev[s] <= prev[a]:
+                            prev[a] |= prev[s]
+                            changed = True
+                        got = prev[z] - {""} | (prev[s] if label in empty else set()) | ({"@"} if label in self.groups else set())
+                    else:
+                        got = prev[s]
+                    if not got <= prev[t]:
+                        prev[t] |= got
+                        changed = True
+        return {x: tuple(r for r in self.groups if x in prev[g.rules[r][0]]) for x in self.tokens | {""}}
+
+    def group(self, inner: tuple[str, ...], rules: tuple[str, ...]) -> str:
+        """The token of a group, brackets included: which of the rules accept it, in which dialects."""
+        name = self.grouped.get((rules, inner))
+        if name is None:
+            asked, labels = (*inner, END), []
+            borders = self.borders(asked)
+            for r in rules:
+                if not any(inner[1] in self.read[t] or inner[1] in self.calls[t] for t, _ in self.read[self.start[r]][inner[0]]):
+                    continue
+                if mask := self.ends((r,), asked, 0, borders)[0].get(len(inner), 0):
+                    labels.append((r, mask))
+            name = "{" + ",".join(f"{r}:{m}" for r, m in labels) + "}"
+            if name not in self.made:
+                self.made[name] = name
+                for read, calls in zip(self.read, self.calls, strict=True):
+                    for table in (read, calls):
+                        got = dict.fromkeys(table.get("@", ()))
+                        for r, m in labels:
+                            got |= dict.fromkeys((*x[:-1], x[-1] & m) for x in table.get("@" + r, ()) if x[-1] & m)
+                        if got:
+                            table[name] = tuple(got)
+            if len(inner) <= LONGEST:
+                if len(self.grouped) >= REMEMBERED:
+                    self.grouped.clear()
+                self.grouped[rules, inner] = name
+        return name
+
+    def contracted(self, tokens: list[str]) -> list[str] | None:
+        """The tokens with each group as one token and long lists shortened; null where brackets don't pair."""
+        last, before = self.pair[1], self.before
+        out: list[str] = []
+        stack: list[tuple[int, str]] = []  # of open brackets: place, and what closes it
+        done = 0
+        for i in [i for i, t in enumerate(tokens) if t in BRACKETS]:
+            out += tokens[done:i]
+            done = i + 1
+            t = tokens[i]
+            if t in PAIRS:
+                stack.append((len(out), PAIRS[t]))
+                out.append(t)
+                continue
+            if not stack:
+                return None
+            at, want = stack.pop()
+            if want != t:
+                return None
+            if len(out) - at > 4 * ENDMOST:
+                out[at + 1 :] = self.shortened(out[at + 1 :])
+            out.append(t)
+            if t == last:
+                x = out[at - 1] if at else ""
+                out[at:] = [self.group(tuple(out[at:]), before["@" if x in self.made else x] if x != "NL" else self.groups)]
+        return None if stack else self.shortened(out + tokens[done:])
 
     def borders(self, tokens: tuple[str, ...]) -> list[int]:
         """For each place the next place where, at the same depth of brackets, a part ends; the last place if none."""
@@ -172,64 +274,72 @@ class Grammar:
             elif t in OPENERS:
                 if len(stack) > 1:
                     stack.pop()
-            elif t in PART_ENDS:
+            elif t in PART_ENDS or t in self.made:
                 stack[-1] = i
             out[i] = stack[-1]
         return out
 
-    def ends(self, rules: tuple[str, ...], tokens: tuple[str, ...], at: int, borders: list[int] | None = None, depth: int = 0) -> tuple[set[int], int]:
-        """Where a text of one of the rules that begins at token ``at`` can end, and the last token looked at for it.
-        tokens ends with END.
+    def ends(self, rules: tuple[str, ...], tokens: tuple[str, ...], at: int, borders: list[int] | None = None, depth: int = 0) -> tuple[dict[int, int], int]:
+        """Where a text of one of the rules that begins at token ``at`` can end, with the dialects in which it can, and the last
+        token looked at for it. tokens ends with END.
 
         Rules in PARTS are recognised apart and remembered by the tokens that were looked at, so equal statements of all
         texts are parsed once; what a rule accepts at a place depends on nothing else."""
-        read, calls, final, start, parts = self.read, self.calls, self.final, self.start, self.parts
+        read, calls, final, start, parts, every = self.read, self.calls, self.final, self.start, self.parts, self.all
         if borders is None:
             borders = self.borders(tokens)
-        # a stack node: callers [(state to go on in, node)], ends so far, moves made
-        top: tuple[list, set, set] = ([], set(), set())
+        # a stack node: callers [(state to go on in, node, dialects)], ends so far, moves made
+        top: tuple[list, dict, dict] = ([], {}, {})
         nodes = {}
-        todo = [(start[r], top, at) for r in rules]
+        todo = [(start[r], top, at, every) for r in rules]
         far = at
         while todo:
-            state, node, pos = todo.pop()
+            state, node, pos, mask = todo.pop()
             key = (state, pos)
-            if key in node[2]:
+            had = node[2].get(key, 0)
+            mask &= ~had
+            if not mask:
                 continue
-            node[2].add(key)
+            node[2][key] = had | mask
             token = tokens[pos]
             if pos > far:
                 far = pos
-            if final[state] and pos not in node[1]:
-                node[1].add(pos)
-                for s, n in node[0]:
-                    todo.append((s, n, pos))
+            ended = final[state] & mask & ~node[1].get(pos, 0)
+            if ended:
+                node[1][pos] = node[1].get(pos, 0) | ended
+                for s, n, m in node[0]:
+                    if m & ended:
+                        todo.append((s, n, pos, m & ended))
             if token == "NL":  # a line end that may also mean nothing
-                todo.append((state, node, pos + 1))
-            for s in read[state].get(token, ()):
-                todo.append((s, node, pos + 1))
-            for rule, s in calls[state].get(token, ()):
+                todo.append((state, node, pos + 1, mask))
+            for s, m in read[state].get(token, ()):
+                if m & mask:
+                    todo.append((s, node, pos + 1, m & mask))
+            for rule, s, m in calls[state].get(token, ()):
+                m &= mask
+                if not m:
+                    continue
                 child = nodes.get((rule, pos))
                 if child is None:
-                    nodes[rule, pos] = child = ([(s, node)], set(), set())
+                    nodes[rule, pos] = child = ([(s, node, m)], {}, {})
                     if rule in parts and depth < DEPTH and not (pos == at and rule in rules):
                         got, seen = self.part(rule, tokens, pos, borders, depth)
                         if seen > far:
                             far = seen
                         child[1].update(got)
-                        todo += [(s, node, p) for p in got]
+                        todo += [(s, node, p, m & e) for p, e in got if m & e]
                     else:
-                        todo.append((start[rule], child, pos))
+                        todo.append((start[rule], child, pos, every))
                 else:
                     for c in child[0]:
-                        if c[0] == s and c[1] is node:
+                        if c[0] == s and c[1] is node and not m & ~c[2]:
                             break
                     else:
-                        child[0].append((s, node))
-                        todo += [(s, node, p) for p in child[1]]
+                        child[0].append((s, node, m))
+                        todo += [(s, node, p, m & e) for p, e in child[1].items() if m & e]
         return top[1], far
 
-    def part(self, rule: str, tokens: tuple[str, ...], at: int, borders: list[int], depth: int) -> tuple[list[int], int]:
+    def part(self, rule: str, tokens: tuple[str, ...], at: int, borders: list[int], depth: int) -> tuple[list[tuple[int, int]], int]:
         """``ends`` of a rule, remembered by the tokens up to the first, second or third border, whichever covers what
         was looked at."""
         keys, border, last = [], at, len(tokens) - 1
@@ -240,7 +350,7 @@ class Grammar:
             key = rule, tokens[at : border + 2]
             found = self.known.get(key)
             if found is not None:
-                return [at + e for e in found[0]], at + found[1]
+                return [(at + e, m) for e, m in found[0]], at + found[1]
             keys.append((border + 1, key))
             if border >= last:
                 break
@@ -250,82 +360,83 @@ class Grammar:
             if far <= upto:
                 if len(self.known) >= REMEMBERED:
                     self.known.clear()
-                self.known[key] = [e - at for e in got], far - at
+                self.known[key] = [(e - at, m) for e, m in got.items()], far - at
                 break
-        return list(got), far
+        return list(got.items()), far
 
-    @staticmethod
-    def apart(element: list[str]) -> tuple[bool, bool]:
-        """Whether an element of a list is whole in itself, and whether it holds a colon outside brackets."""
-        stack, colon = [], False
-        for t in element:
-            if t in PAIRS:
-                stack.append(PAIRS[t])
-            elif t in CLOSERS:
-                if not stack or stack.pop() != t:
-                    return False, colon
-            elif not stack:
-                if t in ENTANGLED:
-                    return False, colon
-                colon |= t == ":"
-        return not stack, colon
-
-    @staticmethod
-    def choosing(tokens: list[str]) -> list[bool]:
-        """For each place whether, at its depth of brackets, a conditional or a lambda waits for its colon."""
-        out, stack = [], [0]
-        for t in tokens:
-            out.append(stack[-1] > 0)
-            if t in OPENERS:
-                stack.append(0)
-            elif t in CLOSERS:
-                if len(stack) > 1:
-                    stack.pop()
-            elif t in ("?", "lambda"):
-                stack[-1] += 1
-            elif t == ":" and stack[-1]:
-                stack[-1] -= 1
-            elif t in (";", "NEWLINE"):
-                stack[-1] = 0
-        return out
-
-    @staticmethod
-    def shortened(tokens: list[str]) -> list[str]:
-        """A list that repeats one form of element more than four times repeats it three times: no rule counts elements,
-        so what accepts the one accepts the other. A table of a million numbers then needs no stack of that size.
+    def shortened(self, tokens: list[str]) -> list[str]:
+        """What stands in one pair of brackets, or in none, with long lists shortened: of the elements of a list all but the ENDMOST first and
+        last ones come once for each form. No rule counts more elements or asks for an order among them, so what accepts
+        the one accepts the other, and a table of a million numbers needs no stack of that size. Every text is read so,
+        whatever its size.
 
         That holds for elements that are whole in themselves only. Where an element opens or closes what another closes or
-        opened (a bracket, a conditional), as in nested calls, all stay."""
-        text, choosing, at, place = " ".join(tokens), None, 0, 0
+        opened (a bracket, a conditional), all stay."""
+        if tokens.count(",") <= 2 * ENDMOST:
+            return tokens
+        out: list[str] = []
+        run: list[tuple[int, int]] = []  # whole elements, comma included, that follow one another
+        begin, depth, asked, whole, dropped = 0, 0, 0, True, False
 
-        def put(m: re.Match) -> str:
-            nonlocal choosing, at, place
-            whole, colon = Grammar.apart(m[1].split())
-            if whole and colon:
-                if choosing is None:
-                    choosing = Grammar.choosing(tokens)
-                at, place = m.start(), place + text.count(" ", at, m.start())
-                whole = not choosing[place]
-            return m[1] * 3 if whole else m[0]
+        def put() -> None:
+            nonlocal dropped
+            seen: set[tuple[str, ...]] = set()
+            for i, (a, b) in enumerate(run):
+                if ENDMOST <= i < len(run) - ENDMOST:
+                    form = tuple(tokens[a:b])
+                    if form in seen:
+                        dropped = True
+                        continue
+                    seen.add(form)
+                out.extend(tokens[a:b])
+            run.clear()
 
-        return _LIST.sub(put, text).split(" ")
+        for i, t in enumerate(tokens):
+            if t in PAIRS:
+                depth += 1
+            elif t in CLOSERS:
+                depth -= 1
+            elif depth:
+                continue
+            elif t == ",":
+                if whole and not asked:
+                    run.append((begin, i + 1))
+                else:
+                    put()
+                    out.extend(tokens[begin : i + 1])
+                begin, whole = i + 1, not asked
+            elif t in self.entangled:
+                whole = False
+                if t in (";", "NEWLINE"):
+                    asked = 0
+            elif t in ("?", "lambda"):
+                asked += 1
+            elif t == ":":
+                asked -= asked > 0
+        put()
+        return out + tokens[begin:] if dropped else tokens
 
-    def accepts(self, items: tuple[str, ...], tokens: list[str]) -> bool:
-        """Whether tokens (ending with END) are a sequence of items, one of the rules each.
+    def accepts(self, items: tuple[str, ...], tokens: list[str]) -> int:
+        """The dialects in which tokens (ending with END) are a sequence of items, one of the rules each; 0 if in none. One dialect holds
+        for the whole text.
 
         The stack is dropped after each item, so its size follows the longest item, not the text."""
-        tokens = tuple(self.shortened(tokens) if len(tokens) > MANY else tokens)
+        short = self.contracted(tokens)
+        if short is None:
+            return 0
+        tokens = tuple(short)
         borders = self.borders(tokens)
         last = len(tokens) - 1
-        todo, seen = {0}, set()
+        todo, out = {0: self.all}, 0
         while todo:
             at = min(todo)
-            todo.remove(at)
+            mask = todo.pop(at)
             while tokens[at] == "NL":
                 at += 1
             if at == last:
-                return True
-            seen.add(at)
-            got = self.part(items[0], tokens, at, borders, 0)[0] if len(items) == 1 else self.ends(items, tokens, at, borders)[0]
-            todo |= set(got) - seen - {at}
-        return False
+                return out | mask
+            got = self.part(items[0], tokens, at, borders, 0)[0] if len(items) == 1 else self.ends(items, tokens, at, borders)[0].items()
+            for e, m in got:
+                if e > at and m & mask:
+                    todo[e] = todo.get(e, 0) | m & mask
+        return out

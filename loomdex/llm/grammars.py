@@ -32,7 +32,8 @@ statement = block | ';' | expr ';' | local | label | asm ';' | attr ';'
   | 'break' ';' | 'continue' ';' | 'return' ( expr | braces )? ';' | 'goto' ( ID | '*' expr ) ';'
   | special ;
 label = ( ID | 'case' assign ( '...' assign )? | 'default' ) ':' ;
-enum = 'enum' ( 'class' | 'struct' )? attr* name? ( ':' typename )? ( '{' ( ID attr* ( '=' assign )? ( ',' ID attr* ( '=' assign )? )* ','? )? '}' )? ;
+enum = 'enum' ( 'class' | 'struct' )? attr* name? ( ':' typename )? constants? ;
+constants = '{' ( ID attr* ( '=' assign )? ( ',' ID attr* ( '=' assign )? )* ','? )? '}' ;
 typeword = 'int' | 'char' | 'short' | 'long' | 'float' | 'double' | 'void' | 'signed' | 'unsigned' | '_Bool' | '_Complex' | 'bool' | 'wchar_t' | 'auto' | '__int128' ;
 qualifier = 'const' | 'volatile' | 'restrict' | '__restrict' | '__const' | '_Atomic' | attr ;
 storage = 'static' | 'extern' | 'typedef' | 'register' | 'inline' | '__inline' | '__inline__' | '_Noreturn' | '_Thread_local' | '__thread' | 'thread_local' | '__extension__' | 'mutable' | 'virtual' | 'explicit' | 'friend' | 'constexpr' | 'consteval' | 'constinit' ;
@@ -63,13 +64,15 @@ atom = ID | NUM | CHR | strings | '(' expr ')' | '(' block ')' | '_Generic' bala
 condition = expr ;
 special = 'asm' ;
 param = specs ( declarator | abstract )? | ID ;
-struct = ( 'struct' | 'union' ) attr* ( ID | ID? '{' field* '}' attr* ) ;
+struct = ( 'struct' | 'union' ) attr* ( ID | ID? fields attr* ) ;
+fields = '{' field* '}' ;
+units = '{' unit* '}' ;
 field = specs ( fielddecl ( ',' fielddecl )* )? ';' | ';' | static_assert | ID '(' args? ')' ;
 fielddecl = declarator ( ':' assign )? attr* | ':' assign ;
 local = specs ( initdecl ( ',' initdecl )* )? ';' | static_assert | function ;
 function = specs? fdecl ( specs declarator ( ',' declarator )* ';' )* block ;
 unit = ';' | specs ( initdecl ( ',' initdecl )* )? ';' | function | asm ';' | static_assert
-  | ID '(' args? ')' ';'? | 'extern' STR ( '{' unit* '}' | unit ) ;
+  | ID '(' args? ')' ';'? | 'extern' STR ( units | unit ) ;
 """
 )
 
@@ -93,7 +96,9 @@ condition = expr | specs declarator ( '=' init | braces ) | ( local | expr ';' )
 special = 'try' block handler+ | 'throw' assign? ';' | 'for' '(' specs ( declarator | pointer* '[' ID ( ',' ID )* ']' ) ':' init ')' statement | ( 'co_return' | 'co_yield' ) expr? ';' | 'using' using ;
 handler = 'catch' '(' ( '...' | param ) ')' block ;
 param = specs '...'? ( declarator | abstract )? ( '=' init )? ;
-struct = ( 'struct' | 'class' | 'union' ) attr* ( name | ( name 'final'? ( ':' base ( ',' base )* )? )? '{' field* '}' attr* ) ;
+struct = ( 'struct' | 'class' | 'union' ) attr* ( name | ( name 'final'? ( ':' base ( ',' base )* )? )? fields attr* ) ;
+fields = '{' field* '}' ;
+units = '{' unit* '}' ;
 base = ( 'public' | 'private' | 'protected' | 'virtual' )* name '...'? ;
 field = ( 'public' | 'private' | 'protected' ) ID? ':' | ID ':' | specs ( fielddecl ( ',' fielddecl )* )? ';' | ';' | function | static_assert | 'using' using | template field | ID '(' args? ')' ;
 fielddecl = declarator ( ':' assign )? ( '=' ( init | 'default' | 'delete' ) | braces )? | ':' assign ;
@@ -104,10 +109,10 @@ meminit = name ( '(' args? ')' | braces ) '...'? ;
 template = 'template' ( '<' ( tparam ( ',' tparam )* )? '>' )? ( 'requires' assign )? ;
 tparam = ( 'typename' | 'class' ) '...'? ID? ( '=' typename )? | param | template ( 'class' | 'typename' ) '...'? ID? ( '=' name )? | name ID? ;
 using = 'namespace' name ';' | 'typename'? name ';' | ID attr* '=' typename ';' | 'enum' name ';' ;
-namespace = 'inline'? 'namespace' attr* ( ID ( '::' ID )* )? '{' unit* '}' | 'namespace' ID '=' name ';' ;
+namespace = 'inline'? 'namespace' attr* ( ID ( '::' ID )* )? units | 'namespace' ID '=' name ';' ;
 concept = 'concept' ID '=' assign ';' ;
 unit = ';' | specs ( localdecl ( ',' localdecl )* )? ';' | function | asm ';' | static_assert | namespace | 'using' using | template ( unit | concept )
-  | ID '(' args? ')' ';'? | 'extern' STR ( '{' unit* '}' | unit ) | specs pointer* '[' ID ( ',' ID )* ']' '=' init ';' ;
+  | ID '(' args? ')' ';'? | 'extern' STR ( units | unit ) | specs pointer* '[' ID ( ',' ID )* ']' '=' init ';' ;
 """
 )
 
@@ -118,11 +123,11 @@ YACC = (
 file = head* '%%' rules ( '%%' unit* )? ;
 head = prologue | PCT thing* | ';' | ID ( ID | NUM | CHR | STR )* ;
 prologue = '%{' unit* '%}' ;
-thing = ID | CHR | STR | NUM | '<' any* '>' | '|' | '=' | '*' | '{' any* '}' ;
+thing = ID | CHR | STR | NUM | '<' any* '>' | '|' | '=' | '*' | GROUP ;
 rules = ( rule | PCT thing* )* ;
 rule = ID ( '[' ID ']' )? ':' alternative ( '|' alternative )* ';'? ;
 alternative = ( ID ( '[' ID ']' )? | CHR | STR | action | PCT ( ID | CHR | STR | NUM | '<' any* '>' | action )? )* ;
-action = '{' statement* '}' ;
+action = block ;
 """
 )
 
@@ -132,7 +137,8 @@ any = NOT['( ) [ ] { }'] | '(' any* ')' | '[' any* ']' | '{' any* '}' ;
 qualified = ID ( '.' ID )* ;
 annotation = '@' qualified ( '(' ( pair ( ',' pair )* ','? )? ')' )? ;
 pair = ID '=' value | value ;
-value = expr | '{' ( value ( ',' value )* ','? )? '}' | annotation ;
+value = expr | values | annotation ;
+values = '{' ( value ( ',' value )* ','? )? '}' ;
 modifier = annotation | 'public' | 'private' | 'protected' | 'static' | 'final' | 'abstract' | 'native' | 'synchronized' | 'transient' | 'volatile' | 'strictfp' | 'default' | 'sealed' | 'non' '-' 'sealed' ;
 primitive = 'int' | 'long' | 'short' | 'byte' | 'char' | 'boolean' | 'float' | 'double' | 'void' ;
 type = annotation* ( primitive | classtype ) dims? ;
@@ -143,13 +149,14 @@ targ = annotation* ( type | '?' ( ( 'extends' | 'super' ) type )? ) ;
 tparams = '<' tparam ( ',' tparam )* '>' ;
 tparam = annotation* ID ( 'extends' type ( '&' type )* )? ;
 types = type ( ',' type )* ;
-unit = ';' | annotation* 'package' qualified ';' | 'import' 'static'? qualified ( '.' '*' )? ';' | typedecl | 'open'? 'module' qualified '{' any* '}' ;
+unit = ';' | annotation* 'package' qualified ';' | 'import' 'static'? qualified ( '.' '*' )? ';' | typedecl | 'open'? 'module' qualified GROUP ;
 typedecl = modifier* ( class | interface | enum | record | annotationtype ) ;
 class = 'class' ID tparams? ( 'extends' type )? ( 'implements' types )? ( 'permits' types )? body ;
 interface = 'interface' ID tparams? ( 'extends' types )? ( 'permits' types )? body ;
 annotationtype = '@' 'interface' ID body ;
 record = 'record' ID tparams? '(' params? ')' ( 'implements' types )? body ;
-enum = 'enum' ID ( 'implements' types )? '{' ( constant ( ',' constant )* )? ','? ( ';' member* )? '}' ;
+enum = 'enum' ID ( 'implements' types )? constants ;
+constants = '{' ( constant ( ',' constant )* )? ','? ( ';' member* )? '}' ;
 constant = annotation* ID ( '(' args? ')' )? body? ;
 body = '{' member* '}' ;
 member = ';' | typedecl | 'static'? block | modifier* tparams? method | modifier* type vars ';' ;
@@ -158,7 +165,8 @@ params = param ( ',' param )* ;
 param = modifier* type ( annotation* '...' )? ( ID '.' )* ( ID | 'this' ) dims? ;
 vars = var ( ',' var )* ;
 var = ID dims? ( '=' init )? ;
-init = expr | '{' ( init ( ',' init )* ','? )? '}' ;
+init = expr | inits ;
+inits = '{' ( init ( ',' init )* ','? )? '}' ;
 block = '{' statement* '}' ;
 statement = block | ';' | expr ';' | modifier* type vars ';' | typedecl | ID ':' statement
   | 'if' '(' expr ')' statement ( 'else' statement )? | 'while' '(' expr ')' statement | 'do' statement 'while' '(' expr ')' ';'
@@ -178,78 +186,84 @@ binop = '+' | '-' | '*' | '/' | '%' | '&' | '|' | '^' | '<' '<'? | '<' '<' '=' |
 unary = ( '+' | '-' | '!' | '~' | '++' | '--' )* ( postfix | '(' type ( '&' type )* ')' ( unary | lambda ) ) ;
 postfix = atom ( '.' targs? ( ID | 'class' | 'this' | 'super' | new ) | '[' expr ']' | '(' args? ')' | '++' | '--' | '::' ( ID | 'new' ) )* ;
 atom = ID | NUM | STR | CHR | 'this' | 'super' | 'true' | 'false' | 'null' | '(' expr ')' | new | type '::' ( ID | 'new' ) | type '.' 'class' | 'switch' '(' expr ')' switchbody ;
-new = 'new' annotation* ( classtype ( '(' args? ')' body? ) | type ( '[' expr ']' )* dims? ( '{' ( init ( ',' init )* ','? )? '}' )? | ( primitive | classtype ) ( '[' expr ']' )+ dims? ) ;
+new = 'new' annotation* ( classtype ( '(' args? ')' body? ) | type ( '[' expr ']' )* dims? inits? | ( primitive | classtype ) ( '[' expr ']' )+ dims? ) ;
 args = expr ( ',' expr )* ;
 """
 
 PYTHON = """
--- Python 3 and, beside it, the print, exec, raise and except statements of Python 2
+-- @3: Python 3; @2: Python 2. Names of the one that are reserved in the other are names in the one
 unit = statement | NEWLINE ;
 statement = simple ( ';' simple )* ';'? NEWLINE | compound ;
-simple = targets | 'pass' | 'break' | 'continue' | 'return' exprs? | 'raise' ( expr ( 'from' expr | ',' expr ( ',' expr )? )? )? | 'del' exprs | 'assert' expr ( ',' expr )?
+simple = targets | 'pass' | 'break' | 'continue' | 'return' exprs? | 'raise' ( expr ( @3 'from' expr | @2 ',' expr ( ',' expr )? )? )? | 'del' exprs | 'assert' expr ( ',' expr )?
   | 'import' asname ( ',' asname )* | 'from' ( '.' | '...' )* dotted? 'import' ( '*' | '(' asname ( ',' asname )* ','? ')' | asname ( ',' asname )* )
-  | ( 'global' | 'nonlocal' ) ID ( ',' ID )* | 'type' ID typeparams? '=' expr | print2 ;
+  | ( 'global' | @3 'nonlocal' ) ID ( ',' ID )* | @3 'type' ID typeparams? '=' expr | @2 print2 ;
 print2 = 'print' ( exprs | '>' '>' exprs )? | 'exec' expr ( 'in' expr ( ',' expr )? )? ;
-targets = exprs ( ( '=' ( exprs | yield ) )+ | ':' expr ( '=' ( exprs | yield ) )? | augmented ( exprs | yield ) )? | yield ;
+targets = exprs ( ( '=' ( exprs | yield ) )+ | @3 ':' expr ( '=' ( exprs | yield ) )? | augmented ( exprs | yield ) )? | yield ;
 augmented = '+=' | '-=' | '*=' | '/=' | '//=' | '%=' | '@=' | '&=' | '|=' | '^=' | '**=' | '<' '<' '=' | '>' '>' '=' | '<' '<=' | '>' '>=' ;
 dotted = ID ( '.' ID )* ;
 asname = dotted ( 'as' ID )? ;
-compound = decorator* 'async'? 'def' word typeparams? '(' params? ')' ( '->' expr )? ':' suite
+compound = decorator* async? 'def' word typeparams? '(' params? ')' ( @3 '->' expr )? ':' suite
   | decorator* 'class' ID typeparams? ( '(' args? ')' )? ':' suite
   | 'if' test ':' suite ( 'elif' test ':' suite )* ( 'else' ':' suite )?
-  | 'while' test ':' suite ( 'else' ':' suite )? | 'async'? 'for' exprs 'in' exprs ':' suite ( 'else' ':' suite )?
-  | 'async'? 'with' ( withitem ( ',' withitem )* | '(' withitem ( ',' withitem )* ','? ')' ) ':' suite
-  | 'try' ':' suite ( ( 'except' '*'? ( exprs ( ( 'as' | ',' ) expr )? )? ':' suite )+ ( 'else' ':' suite )? ( 'finally' ':' suite )? | 'finally' ':' suite )
-  | 'match' exprs ':' NEWLINE INDENT ( 'case' exprs ( 'as' ID )? ( 'if' test )? ':' suite )+ DEDENT ;
+  | 'while' test ':' suite ( 'else' ':' suite )? | async? 'for' exprs 'in' exprs ':' suite ( 'else' ':' suite )?
+  | async? 'with' ( withitem ( ',' withitem )* | '(' withitem ( ',' withitem )* ','? ')' ) ':' suite
+  | 'try' ':' suite ( ( 'except' ( @3 '*' )? ( expr ( ( 'as' | @2 ',' ) expr )? )? ':' suite )+ ( 'else' ':' suite )? ( 'finally' ':' suite )? | 'finally' ':' suite )
+  | @3 'match' exprs ':' NEWLINE cases ;
+async = @3 'async' ;
+cases = INDENT ( 'case' exprs ( 'as' ID )? ( 'if' test )? ':' suite )+ DEDENT ;
 withitem = expr ( 'as' expr )? ;
 decorator = '@' test NEWLINE ;
-typeparams = '[' any* ']' ;
+typeparams = @3 '[' any* ']' ;
 any = NOT['( ) [ ] { } NEWLINE INDENT DEDENT'] | '(' any* ')' | '[' any* ']' | '{' any* '}' ;
-suite = simple ( ';' simple )* ';'? NEWLINE | NEWLINE INDENT statement+ DEDENT ;
+suite = simple ( ';' simple )* ';'? NEWLINE | NEWLINE indented ;
+indented = INDENT statement+ DEDENT ;
 params = param ( ',' param )* ','? ;
-param = ( '*' | '**' )? word ( ':' expr )? ( '=' test )? | '*' | '/' | '(' params ')' ( '=' test )? ;
-word = ID | 'print' | 'exec' | 'match' | 'case' | 'type' ;
+param = ( '*' | '**' )? word ( @3 ':' expr )? ( '=' test )? | @3 ( '*' | '/' ) | @2 '(' params ')' ( '=' test )? ;
+word = ID | 'print' | 'exec' | 'match' | 'case' | 'type' | @2 ( 'async' | 'await' | 'nonlocal' ) ;
 exprs = expr ( ',' expr )* ','? ;
-expr = '*' test | test | '**' test ;
-test = or ( 'if' or 'else' test )? | 'lambda' params? ':' test | ID ':=' test | 'not' test ;
+expr = test | @3 ( '*' | '**' ) test ;
+test = or ( 'if' or 'else' test )? | 'lambda' params? ':' test | @3 ID ':=' test | 'not' test ;
 or = operand ( binop operand )* ;
-operand = ( '+' | '-' | '~' | 'not' | 'await' )* postfix ;
-binop = '+' | '-' | '*' | '/' | '//' | '%' | '@' | '**' | '&' | '|' | '^' | '<' '<'? | '>' '>'? | '<' '>' | '<=' | '>=' | '==' | '!=' | 'and' | 'or' | 'in' | 'not' 'in' | 'is' 'not'? ;
+operand = ( '+' | '-' | '~' | 'not' | @3 'await' )* postfix ;
+binop = '+' | '-' | '*' | '/' | '//' | '%' | @3 '@' | '**' | '&' | '|' | '^' | '<' '<'? | '>' '>'? | @2 '<' '>' | '<=' | '>=' | '==' | '!=' | 'and' | 'or' | 'in' | 'not' 'in' | 'is' 'not'? ;
 postfix = atom ( '.' word | '(' args? ')' | '[' slices ']' )* ;
 slices = slice ( ',' slice )* ','? ;
 slice = expr? ( ':' expr? )* ;
-atom = word | NUM | STR+ | 'True' | 'False' | 'None' | '...' | '(' ( yield | exprs comp? )? ')' | '[' ( exprs comp? )? ']' | '{' ( entries comp? )? '}' | '`' exprs '`' ;
+atom = word | NUM | @2 OLDNUM | @3 NEWNUM | string+ | 'True' | 'False' | 'None' | '...' | '(' ( yield | exprs comp? )? ')' | '[' ( exprs comp? )? ']' | '{' ( entries comp? )? '}' | @2 '`' exprs '`' ;
+string = STR | @2 OLDSTR | @3 FHEAD ( '(' ( yield | exprs ) ')' )* FTAIL ;
 entries = entry ( ',' entry )* ','? ;
 entry = expr ( ':' test )? ;
-comp = ( 'async'? 'for' exprs 'in' or ( 'if' test )* ( ',' or )* | 'async'? 'for' exprs 'in' 'lambda' params? ':' test )+ ;
+comp = ( async? 'for' exprs 'in' or ( 'if' test )* ( ',' or )* | async? 'for' exprs 'in' 'lambda' params? ':' test )+ ;
 args = arg ( ',' arg )* ','? ;
-arg = word '=' test | expr comp? ;
-yield = 'yield' ( 'from' test | exprs )? ;
+arg = word '=' test | test comp? | ( '*' | '**' ) test ;
+yield = 'yield' ( @3 'from' test | exprs )? ;
 """
 
 JAVASCRIPT = """
--- ECMAScript of all editions; NL is a line end where a statement may end without a semicolon
+-- ECMAScript of all editions, @module a module, @script a script; NL is a line end where a statement may end without a semicolon
 unit = statement ;
 any = NOT['( ) [ ] { }'] | '(' any* ')' | '[' any* ']' | '{' any* '}' ;
 statement = block | ';' | exprs end | declaration end | function | class | word ':' statement
   | 'if' '(' exprs ')' statement ( 'else' statement )? | 'while' '(' exprs ')' statement | 'do' statement 'while' '(' exprs ')' end
   | 'for' 'await'? '(' ( ( declaration | exprs )? ';' exprs? ';' exprs? | ( ( 'var' | 'let' | 'const' )? target | postfix ) ( 'of' | 'in' ) exprs ) ')' statement
-  | 'switch' '(' exprs ')' '{' ( ( 'case' exprs | 'default' ) ':' | statement )* '}'
-  | 'break' ( ID )? end | 'continue' ( ID )? end | 'return' exprs? end | 'throw' exprs end | 'debugger' end | 'with' '(' exprs ')' statement
+  | 'switch' '(' exprs ')' switchbody
+  | 'break' ( ID )? end | 'continue' ( ID )? end | 'return' exprs? end | 'throw' exprs end | 'debugger' end | @script 'with' '(' exprs ')' statement
   | 'try' block ( 'catch' ( '(' target ')' )? block )? ( 'finally' block )?
-  | 'import' any end | 'import' ( word | '*' 'as' word | '{' any* '}' | ',' )+ 'from' STR end | 'import' STR end
-  | 'export' ( declaration end | function | class | 'default' ( expr end | function | class ) | '*' ( 'as' word )? 'from' STR end | '{' any* '}' ( 'from' STR )? end ) ;
+  | @module 'import' any end | @module 'import' ( word | '*' 'as' word | GROUP | ',' )+ 'from' STR end | @module 'import' STR end
+  | @module 'export' ( declaration end | function | class | 'default' ( expr end | function | class ) | '*' ( 'as' word )? 'from' STR end | GROUP ( 'from' STR )? end ) ;
 end = ';' | NL ;
 block = '{' statement* '}' ;
+switchbody = '{' ( ( 'case' exprs | 'default' ) ':' | statement )* '}' ;
 declaration = ( 'var' | 'let' | 'const' ) binding ( ',' binding )* ;
 binding = target ( '=' expr )? ;
-target = word | '[' ( ( '...'? target ( '=' expr )? )? ','? )* ']' | '{' ( property ( ',' property )* ','? )? '}' ;
+target = word | '[' ( ( '...'? target ( '=' expr )? )? ','? )* ']' | object ;
 word = ID | 'let' | 'of' | 'async' | 'await' | 'get' | 'set' | 'static' | 'as' | 'from' | 'yield' ;
 anyword = word | 'var' | 'const' | 'if' | 'else' | 'for' | 'while' | 'do' | 'switch' | 'case' | 'default' | 'break' | 'continue' | 'return' | 'throw' | 'try' | 'catch' | 'finally' | 'function' | 'class' | 'new' | 'delete' | 'typeof' | 'void' | 'in' | 'instanceof' | 'this' | 'null' | 'true' | 'false' | 'import' | 'export' | 'extends' | 'super' | 'debugger' | 'with' ;
 function = 'async'? 'function' '*'? word? '(' params? ')' block ;
 params = param ( ',' param )* ','? ;
 param = '...'? target ( '=' expr )? ;
-class = 'class' word? ( 'extends' postfix )? '{' ( ';' | 'static' block | 'static'? ( 'async'? '*'? | 'get' | 'set' ) key '(' params? ')' block | 'static'? key ( '=' expr )? end )* '}' ;
+class = 'class' word? ( 'extends' postfix )? classbody ;
+classbody = '{' ( ';' | 'static' block | 'static'? ( 'async'? '*'? | 'get' | 'set' ) key '(' params? ')' block | 'static'? key ( '=' expr )? end )* '}' ;
 key = anyword | STR | NUM | '#' ID | '[' expr ']' ;
 exprs = expr ( ',' expr )* ;
 expr = ternary | arrow | 'yield' '*'? expr? ;
@@ -257,8 +271,9 @@ arrow = 'async'? ( word | '(' params? ')' ) '=>' ( expr | block ) ;
 ternary = unary ( binop ( unary | arrow ) | '?' expr ':' ( unary | arrow ) )* ;
 binop = '+' | '-' | '*' | '/' | '%' | '**' | '&' | '|' | '^' | '<' '<'? | '<' '<=' | '>' ( '>' '>'? )? | '>' '>=' | '>' '>' '>=' | '<=' | '>=' | '==' | '!=' | '===' | '!==' | '&&' | '||' | '??' | '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '&=' | '|=' | '^=' | '&&=' | '||=' | '??=' | 'in' | 'instanceof' ;
 unary = ( '+' | '-' | '!' | '~' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await' )* postfix ;
-postfix = atom ( '.' '#'? anyword | '?.' ( anyword | '[' exprs ']' | '(' args? ')' ) | '[' exprs ']' | '(' args? ')' | TEMPLATE | '++' | '--' )* ;
-atom = word | NUM | STR | REGEX | TEMPLATE | 'this' | 'null' | 'true' | 'false' | 'super' | '(' exprs ')' | function | class | object | array | 'new' ( '.' ID | unary ) | 'import' ( balanced | '.' ID ) ;
+postfix = atom ( '.' '#'? anyword | '?.' ( anyword | '[' exprs ']' | '(' args? ')' ) | '[' exprs ']' | '(' args? ')' | template | '++' | '--' )* ;
+template = TEMPLATE | HEAD exprs ( MIDDLE exprs )* TAIL ;
+atom = word | NUM | STR | REGEX | template | 'this' | 'null' | 'true' | 'false' | 'super' | '(' exprs ')' | function | class | object | array | 'new' ( '.' ID | unary ) | 'import' ( balanced | '.' ID ) ;
 balanced = '(' any* ')' ;
 args = '...'? expr ( ',' '...'? expr )* ','? ;
 array = '[' ( ( '...'? expr )? ( ',' ( '...'? expr )? )* )? ']' ;
@@ -267,17 +282,17 @@ property = key ( ':' expr )? ( '=' expr )? | '...' expr | ( 'async'? '*'? | 'get
 """
 
 PHP = """
--- PHP 4 to 8; HTML stands between the blocks and ends a statement
+-- @old: PHP 4 to 7; @new: PHP 8; HTML stands between the blocks and ends a statement
 unit = statement ;
 any = NOT['( ) [ ] { }'] | '(' any* ')' | '[' any* ']' | '{' any* '}' ;
 name = '\\'? ID ( '\\' ID )* | 'namespace' '\\' ID ( '\\' ID )* ;
-attribute = '#[' any* ']' ;
+attribute = @new '#[' any* ']' ;
 statement = HTML | ';' | block | expr end | ID ':' | ( 'echo' | 'print' ) exprs end
   | 'if' '(' expr ')' ( statement ( 'elseif' '(' expr ')' statement | 'else' 'if' '(' expr ')' statement )* ( 'else' statement )? | ':' statement* ( 'elseif' '(' expr ')' ':' statement* )* ( 'else' ':' statement* )? 'endif' end )
   | 'while' '(' expr ')' ( statement | ':' statement* 'endwhile' end ) | 'do' statement 'while' '(' expr ')' end
   | 'for' '(' exprs? ';' exprs? ';' exprs? ')' ( statement | ':' statement* 'endfor' end )
   | 'foreach' '(' expr 'as' ( expr '=>' )? '&'? expr ')' ( statement | ':' statement* 'endforeach' end )
-  | 'switch' '(' expr ')' ( '{' cases '}' | ':' cases 'endswitch' end )
+  | 'switch' '(' expr ')' ( switchbody | ':' cases 'endswitch' end )
   | 'break' expr? end | 'continue' expr? end | 'return' expr? end | 'throw' expr end | 'goto' ID end
   | 'global' exprs end | 'static' VAR ( '=' expr )? ( ',' VAR ( '=' expr )? )* end | 'unset' '(' exprs ','? ')' end | 'declare' '(' any* ')' ( end | block )
   | 'try' block ( 'catch' '(' name ( '|' name )* VAR? ')' block )* ( 'finally' block )?
@@ -286,31 +301,34 @@ statement = HTML | ';' | block | expr end | ID ':' | ( 'echo' | 'print' ) exprs
 end = ';' | HTML ;
 cases = ( ( 'case' expr | 'default' ) ( ':' | ';' ) | statement )* ;
 block = '{' statement* '}' ;
+switchbody = '{' cases '}' ;
+index = '{' expr '}' ;
 function = attribute* 'function' '&'? anyword '(' params? ')' ( ':' type )? block ;
 params = param ( ',' param )* ','? ;
 param = attribute* modifier* type? '&'? '...'? VAR ( '=' expr )? ;
 type = '?'? ( name | 'array' | 'static' | 'callable' | 'null' | 'false' | '(' type ')' ) ( ( '|' | '&' ) ( name | 'array' | 'null' | 'false' | 'static' | '(' type ')' ) )* ;
 modifier = 'public' | 'private' | 'protected' | 'static' | 'abstract' | 'final' | 'var' | 'readonly' ;
-class = attribute* ( 'abstract' | 'final' | 'readonly' )* ( 'class' | 'interface' | 'trait' | 'enum' ) ID ( ':' type )? ( 'extends' names )? ( 'implements' names )? body ;
+class = attribute* ( 'abstract' | 'final' | 'readonly' )* ( 'class' | 'interface' | 'trait' | @new 'enum' ) ID ( ':' type )? ( 'extends' names )? ( 'implements' names )? body ;
 names = name ( ',' name )* ;
 body = '{' member* '}' ;
-member = attribute* modifier* ( 'function' '&'? anyword '(' params? ')' ( ':' type )? ( block | ';' ) | 'const' type? anyword '=' expr ( ',' anyword '=' expr )* ';' | type? VAR ( '=' expr )? ( ',' VAR ( '=' expr )? )* ';' ) | 'use' names ( ';' | '{' any* '}' ) | 'case' anyword ( '=' expr )? ';' ;
+member = attribute* modifier* ( 'function' '&'? anyword '(' params? ')' ( ':' type )? ( block | ';' ) | 'const' type? anyword '=' expr ( ',' anyword '=' expr )* ';' | type? VAR ( '=' expr )? ( ',' VAR ( '=' expr )? )* ';' ) | 'use' names ( ';' | GROUP ) | 'case' anyword ( '=' expr )? ';' ;
 anyword = ID | 'list' | 'print' | 'echo' | 'use' | 'default' | 'class' | 'function' | 'array' | 'static' | 'new' | 'clone' | 'isset' | 'empty' | 'unset' | 'include' | 'require' | 'for' | 'foreach' | 'if' | 'else' | 'return' | 'switch' | 'case' | 'and' | 'or' | 'global' | 'throw' | 'try' | 'catch' | 'do' | 'while' | 'break' | 'continue' | 'exit' | 'match' | 'fn' | 'null' | 'true' | 'false' | 'public' | 'private' | 'protected' | 'const' | 'enum' | 'readonly' | 'as' | 'namespace' ;
 exprs = expr ( ',' expr )* ;
 expr = unary ( binop unary | 'instanceof' unary | '?' expr? ':' unary )* ;
 binop = '+' | '-' | '*' | '/' | '%' | '**' | '.' | '&' | '|' | '^' | '<' '<'? | '>' '>'? | '<' '>' | '<=' '>'? | '>=' | '==' | '!=' | '===' | '!==' | '&&' | '||' | '??' | 'and' | 'or' | 'xor' | '=' '&'? | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '.=' | '&=' | '|=' | '^=' | '??=' | '<' '<=' | '>' '>=' ;
 unary = ( '+' | '-' | '!' | '~' | '@' | '&' | '++' | '--' | 'clone' | 'print' | 'throw' | 'include' | 'include_once' | 'require' | 'require_once' | 'yield' | '(' cast ')' )* ( postfix | 'yield' 'from'? ( expr ( '=>' expr )? )? ) ;
 cast = 'int' | 'integer' | 'string' | 'bool' | 'boolean' | 'float' | 'double' | 'array' | 'object' | 'binary' | 'unset' ;
-postfix = atom ( '[' expr? ']' | '{' expr '}' | ( '->' | '?->' ) ( anyword | VAR | '{' expr '}' | '$' VAR ) | '::' ( anyword | VAR | '{' expr '}' ) | '(' args? ')' | '++' | '--' )* ;
-atom = VAR | '$'+ ( VAR | '{' expr '}' ) | NUM | STR | name | 'int' | 'string' | 'float' | 'bool' | 'object' | 'double' | 'integer' | 'boolean' | 'binary' | 'static' | 'null' | 'true' | 'false' | '(' expr ')' | 'array' '(' items? ')' | 'list' '(' items? ')' | '[' items? ']' | ( 'isset' | 'empty' ) '(' exprs ','? ')' | 'exit' ( '(' expr? ')' )?
+postfix = atom ( '[' expr? ']' | @old index | ( '->' | @new '?->' ) ( anyword | VAR | index | '$' VAR ) | '::' ( anyword | VAR | index ) | '(' args? ')' | '++' | '--' )* ;
+atom = VAR | '$'+ ( VAR | index ) | NUM | STR | name | 'int' | 'string' | 'float' | 'bool' | 'object' | 'double' | 'integer' | 'boolean' | 'binary' | 'static' | 'null' | 'true' | 'false' | '(' expr ')' | 'array' '(' items? ')' | 'list' '(' items? ')' | '[' items? ']' | ( 'isset' | 'empty' ) '(' exprs ','? ')' | 'exit' ( '(' expr? ')' )?
   | 'static'? 'function' '&'? '(' params? ')' ( 'use' '(' ( '&'? VAR ( ',' '&'? VAR )* ','? )? ')' )? ( ':' type )? block | 'static'? 'fn' '&'? '(' params? ')' ( ':' type )? '=>' expr
   | 'new' ( name | VAR | 'static' | '(' expr ')' ) ( ( '->' | '::' ) ( ID | VAR ) )* ( '(' args? ')' )? | 'new' attribute* 'class' ( '(' args? ')' )? ( 'extends' name )? ( 'implements' names )? body
-  | 'match' '(' expr ')' '{' ( matcharm ( ',' matcharm )* ','? )? '}' ;
+  | @new 'match' '(' expr ')' matchbody | @old 'match' ;
+matchbody = '{' ( matcharm ( ',' matcharm )* ','? )? '}' ;
 matcharm = ( 'default' | exprs ','? ) '=>' expr ;
 items = item? ( ',' item? )* ;
 item = '...'? '&'? expr ( '=>' '&'? expr )? ;
 args = arg ( ',' arg )* ','? ;
-arg = '...' | '...'? expr | anyword ':' expr ;
+arg = @new '...' | '...'? expr | @new anyword ':' expr ;
 """
 
 ASM = """
@@ -329,5 +347,14 @@ op = '+' | '-' | '*' | '/' | '|' | '&' | '^' | '<' '<' | '>' '>' | '%' | '==' |
 term = ( '-' | '+' | '~' | '!' | '%' | '$' )* ( ID | NUM | STR | CHR | DOT | '(' sum ')' | ID '@' ID | ID ID ) ;
 """
 
-#: Language: grammar, and the rules of its items in the order of the dialects.
-GRAMMARS = {"c": (C, ("unit",)), "cpp": (CPP, ("unit",)), "java": (JAVA, ("unit",)), "python": (PYTHON, ("unit",)), "javascript": (JAVASCRIPT, ("unit",)), "php": (PHP, ("unit",)), "asm": (ASM, ("unit",)), "yacc": (YACC, ("file",))}
+#: Language: the text of its grammar, the rule of its items, the rules of its groups, what brackets them, its dialects.
+GRAMMARS = {
+    "c": (C, "unit", ("block", "braces", "constants", "fields", "units"), ("{", "}"), ("",)),
+    "cpp": (CPP, "unit", ("block", "braces", "constants", "fields", "units"), ("{", "}"), ("",)),
+    "java": (JAVA, "unit", ("block", "body", "constants", "inits", "switchbody", "values"), ("{", "}"), ("",)),
+    "python": (PYTHON, "unit", ("indented", "cases"), ("INDENT", "DEDENT"), ("3", "2")),
+    "javascript": (JAVASCRIPT, "unit", ("block", "object", "classbody", "switchbody"), ("{", "}"), ("script", "module")),
+    "php": (PHP, "unit", ("block", "body", "switchbody", "matchbody", "index"), ("{", "}"), ("old", "new")),
+    "asm": (ASM, "unit", (), ("", ""), ("",)),
+    "yacc": (YACC, "file", ("block", "braces", "constants", "fields"), ("{", "}"), ("",)),
+}

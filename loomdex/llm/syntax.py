@@ -26,18 +26,18 @@ REMEMBERED = 4096
 
 @cache
 def grammar(lang: str) -> tuple[Grammar, tuple[str, ...]]:
-    text, items = GRAMMARS[lang]
-    return Grammar(text), items
+    text, item, groups, pair, dialects = GRAMMARS[lang]
+    return Grammar(text, groups, pair, dialects, lang in ("cpp", "java")), (item,)
 
 
 def well_formed(lang: str, text: str) -> bool:
-    """Whether some reading of the text is accepted by some dialect of the language. Line ends of any kind count alike;
-    a byte order mark is skipped. Unknown languages have no grammar, so nothing is wrong with their texts."""
+    """Whether some dialect of the language accepts the whole text; of conditional sections each branch has to stand in a reading that is
+    accepted. Line ends of any kind count alike; a byte order mark is skipped. Unknown languages have no grammar, so
+    nothing is wrong with their texts."""
     if lang not in GRAMMARS:
         return True
     g, items = grammar(lang)
-    readings = LEXERS[lang](text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n"), g)
-    return readings is not None and any(g.accepts(items, r + [END]) for r in readings)
+    return LEXERS[lang](text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n"), g, lambda tokens: g.accepts(items, [*tokens, END]) > 0)
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,10 +7,12 @@ comments and its path say about it; then the composition of its tokens.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from hashlib import blake2b, md5
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdex.common import written
@@ -18,14 +20,15 @@ from loomdex.functions.paths import normal_path
 from loomdex.functions.text import base_name
 from loomdex.sources.languages import language_in
 
-#: A line of fewer characters says nothing about its origin.
-LINE_CHARS = 16
-#: A line is rare in at most this many texts or names of texts, or this share of all texts, if that is more.
+#: A line is rare in at most this many texts or this share of all texts, if that is more; or if the names of its texts fill at most so
+#: many of the BUCKETS a name may fall into, which is what RARE_TEXTS names do on average.
 RARE_TEXTS, RARE_SHARE = 64, 1e-4
+BUCKETS, RARE_BUCKETS = 256, 57
 #: Repositories of a line that are asked first.
 EARLIEST = 64
-#: Rare lines a text needs to be judged by them, and the share of them another repository must hold.
-LEAST_LINES, CONTAINED = 8, 0.8
+#: The share of a text's rare lines another repository must hold; of fewer than FEW rare lines it must hold all, and of
+#: fewer than FEWEST the whole text.
+CONTAINED, FEW, FEWEST = 0.8, 8, 3
 
 # File names that tools give to what they generate or shrink.
 GENERATED_NAME = re.compile(
@@ -65,7 +68,7 @@ SCAN = {
 STYLE = {"python": "hash", "asm": "both", "php": "both"}
 #: Lines that may stand before the comment that speaks of the file.
 PREAMBLE = re.compile(r"""\s*(?:<\?php|#!.*|['"]use strict['"];?|%\{|#\s*(?:include|pragma|ifndef|define)\b.*|(?:package|import|from|require|require_once|namespace|using)\b.*)?\s*""")
-_TOKEN = re.compile(r"(?P<number>(?<![\w$])\.?\d[\w.]*)|(?P<word>[^\W\d]\w*)")
+_TOKEN = re.compile(r"(?<![\w$])\.?\d[\w.]*|[^\W\d]\w*")
 #: Above this share of the text's literals among its literals and names it is data; of its characters in long strings, too.
 DATA_LITERALS, DATA_CHARS = 0.6, 0.5
 LITERALS = 24
@@ -74,10 +77,10 @@ LONG_STRING = 48
 LONG_LINE, LONG_SHARE, BLANKS = 200, 0.8, 0.08
 
 
-def notes(text: str, lang: str | None) -> tuple[str, str, list[str]]:
+def notes(text: str, style: str) -> tuple[str, str, list[str]]:
     """The comments before and after the code, the code without comments, and its strings."""
     pieces, strings, head, tail, last, began = [], [], [], [], 0, False
-    for m in SCAN[STYLE.get(lang, "slash")].finditer(text):
+    for m in SCAN[style].finditer(text):
         if m["comment"] is None:
             strings.append(m[0])
             continue
@@ -94,17 +97,18 @@ def notes(text: str, lang: str | None) -> tuple[str, str, list[str]]:
     return "\n".join(head + tail), " ".join(pieces), strings
 
 
-def kind(path: str, text: str | None, lang: str | None) -> str | None:
-    """generated, vendored, minified or data, or null for what looks written by hand. Null and empty texts are judged by
-    the path alone. Whole texts are read; only comments outside the code speak of the file."""
-    if VENDOR_DIR.search(path):
-        return "vendored"
-    if GENERATED_NAME.search(path) or GENERATED_DIR.search(path):
-        return "generated"
+def kind_of_path(path: Column) -> Column:
+    """vendored or generated, or null where the path says nothing."""
+    return F.when(path.rlike("(?i)" + VENDOR_DIR.pattern), "vendored").when(path.rlike(GENERATED_NAME.pattern) | path.rlike("(?i)" + GENERATED_DIR.pattern), "generated")
+
+
+def kind_of_text(text: str | None, style: str) -> str | None:
+    """generated, vendored, minified or data, or null for what looks written by hand, as a null or empty text does. style: how
+    the language writes comments. Whole texts are read; only comments outside the code speak of the file."""
     if not text:
         return None
     text = text.replace("\r\n", "\n").replace("\r", "\n")
-    said, code, strings = notes(text, lang)
+    said, code, strings = notes(text, style)
     if VENDOR_NOTE.search(said):
         return "vendored"
     if GENERATED_NOTE.search(said) or LINE_NOTE.search(text):
@@ -115,13 +119,9 @@ def kind(path: str, text: str | None, lang: str | None) -> str | None:
     if sum(len(s) for s in strings if len(s) >= LONG_STRING) > DATA_CHARS * size:
         return "data"
     bare = re.sub(_STRINGS, " ", code)
-    numbers = words = 0
-    for m in _TOKEN.finditer(bare):
-        if m.lastgroup == "number":
-            numbers += 1
-        else:
-            words += 1
-    literals = numbers + len(strings)
+    tokens = _TOKEN.findall(bare)
+    words = sum(x[0] == "_" or x[0].isalpha() for x in tokens)
+    literals = len(tokens) - words + len(strings)
     if literals >= LITERALS and literals > DATA_LITERALS * (literals + words):
         return "data"
     long = [x for x in code.split("\n") if len(x) >= LONG_LINE]
@@ -131,53 +131,101 @@ def kind(path: str, text: str | None, lang: str | None) -> str | None:
     return None
 
 
-def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([kind(*x) for x in rows], pa.string())], names=["path", "kind"])
+def _digest(x: bytes) -> bytes:
+    return md5(x, usedforsecurity=False).digest()
 
 
-def copies(texts: DataFrame) -> DataFrame:
-    """(path, kind 'copy'): texts of (path, repo, born, content) that another repository held before, in whole or by their rare lines.
+def _hash(x: str) -> int:
+    return int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little", signed=True)
 
-    Lines are trimmed, their blanks made single; lines under LINE_CHARS are left out. Texts with the same lines in the same order count as
+
+#: What is known of a text: its kind by each style of comments, digests of its lines and of the whole, line hashes.
+TEXT = "norm string, of string, slash string, hash string, both string, lines binary, whole binary, h array<long>"
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, int | None] = {}  # hash by line as it stands, none of an empty one
+    for b in batches:
+        out: list[tuple] = []
+        for norm, of, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            styles = [STYLE.get(of, "slash")] if of is not None else SCAN
+            kinds = [kind_of_text(text, x) if x in styles else None for x in SCAN]
+            plain = (text or "").replace("\r\n", "\n").replace("\r", "\n")
+            if len(known) > 100_000:
+                known.clear()
+            lines = plain.split("\n")
+            for x in lines:
+                if x not in known:
+                    known[x] = _hash(y) if (y := " ".join(x.split())) else None
+            all_ = [y for x in lines if (y := known[x]) is not None]
+            h = list(dict.fromkeys(all_))
+            out.append((norm, of, *kinds, _digest(array("q", all_).tobytes()) if h else None, _digest(plain.encode()) if h else None, h))
+        cols = list(zip(*out, strict=True)) or [()] * 8
+        types = [pa.string()] * 5 + [pa.binary()] * 2 + [pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in TEXT.split(", ")])
+
+
+def read_texts(params: DataFrame) -> DataFrame:
+    """TEXT of each record (file, langmap, content), where the records are: texts are neither shuffled nor broadcast."""
+    rows = params.select(normal_path(F.col("file")).alias("norm"), language_in(F.col("file"), F.col("langmap")).alias("of"), "content").filter("norm IS NOT NULL")
+    return rows.mapInArrow(_texts, TEXT)
+
+
+def copies(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(path, kind 'copy') of members (path, repo, born, lines, whole): texts that another repository held before, in whole or by
+    their rare lines. texts: (lines, h), the line hashes of each text, repeats allowed.
+
+    Lines are trimmed, their blanks made single; empty ones are left out. Texts with the same lines in the same order count as
     one, so a file copied a thousand times is as rare as its one text. A line is rare if few texts hold it or if its texts have few base
     names (of one text the least), so copies with an edit each, however many, leave their lines rare, while what stands in files of all
-    names does not. Of a line that is rare the index has the repositories, each
-    with the earliest birth of a text there that holds it. A text is a copy if one other repository holds at least
-    CONTAINED of its LEAST_LINES or more rare lines, all in texts born earlier (of those born at the same time the lesser repository's
-    is the first), or, whatever lines it has of LINE_CHARS, the whole text, line ends aside. The containment is exact: all rare
-    lines are counted. Of a line's repositories the EARLIEST are asked first, and all of them only for the texts not found so.
-    No two files meet: a line joins its texts with its repositories, and a line in most files is dropped by a mergeable count
-    before that. Texts without a birth count as born last."""
-    lines = F.filter(F.transform(F.split("content", r"\r\n|\r|\n"), lambda x: F.regexp_replace(F.trim(x), r"\s+", " ")), lambda x: F.length(x) >= LINE_CHARS)
-    whole = F.md5(F.encode(F.regexp_replace("content", r"\r\n|\r", "\n"), "utf-8"))
-    rows = texts.filter(F.length("content") > 0).select("path", "repo", F.coalesce("born", F.lit("9999-12-31").cast("timestamp_ntz")).alias("born"), whole.alias("whole"), lines.alias("lines"))
-    rows = rows.withColumn("text", F.md5(F.encode(F.array_join("lines", "\n"), "utf-8"))).withColumn("h", F.transform(F.array_distinct("lines"), lambda x: F.xxhash64(x))).drop("lines")
-    rows = written(rows, "lines")  # read several times below; hashes only
-    held = rows.select("text", "repo", "born", F.explode("h").alias("h")).groupBy("text", "repo", "h").agg(F.min("born").alias("born"))
-    one = rows.groupBy("text").agg(F.min("repo").alias("a"), F.max("repo").alias("b"), F.min(F.xxhash64(F.lower(base_name(F.col("path"))))).alias("name"), F.any_value("h").alias("h"))
-    n = rows.select("text").distinct().agg(F.count("*").alias("n")).select(F.greatest(F.lit(RARE_TEXTS), F.col("n") * RARE_SHARE)).scalar()
-    stats = one.select("a", "b", "name", F.explode("h").alias("h")).groupBy("h", "name").agg(F.count("*").alias("df"), F.min("a").alias("a"), F.max("b").alias("b"))
-    stats = stats.groupBy("h").agg(F.sum("df").alias("df"), F.count("*").alias("names"), F.min("a").alias("a"), F.max("b").alias("b")).filter((F.col("df") <= n) | (F.col("names") <= n))
-    index = held.join(stats.select("h", (F.col("a") != F.col("b")).alias("several")), "h")
-    totals = index.groupBy("text", "repo").agg(F.count("*").alias("lines")).filter(F.col("lines") >= LEAST_LINES)
-    shared = written(index.filter("several").drop("several"), "shared")
-    other = shared.filter("repo IS NOT NULL").groupBy("h", F.col("repo").alias("other")).agg(F.min("born").alias("first"))
+    names does not. Of a rare line the index has the repositories, each
+    with the earliest text there that holds it. A text is a copy if one text of another repository holds at least
+    CONTAINED of its FEW or more rare lines, or all of its FEWEST or more, and was born earlier (of those born at the same time the
+    lesser repository's is the first), or holds the whole text, line ends aside. The containment is exact: all rare
+    lines are counted. Of a line's repositories the EARLIEST are asked first, and all of them only for the texts not found so; of a
+    repository's texts that hold a line the earliest is asked first, and all of them only where the repository holds
+    enough lines but its earliest texts don't.
+    No two files meet: a line joins its texts with its repositories, and a line in most files is counted by a mergeable aggregate
+    before that. Only lines of several repositories, and the common ones, are joined back; the others need no index.
+    Texts without a birth count as born last, those without a repository are no copies and make none."""
+    name = F.xxhash64(F.lower(base_name(F.col("path"))))
+    of = members.filter("lines IS NOT NULL").withColumn("born", F.coalesce("born", F.lit("9999-12-31").cast("timestamp_ntz")))
+    one = of.groupBy("lines").agg(F.min(F.xxhash64("repo")).alias("a"), F.max(F.xxhash64("repo")).alias("b"), F.min(name).alias("name"))
+    text = texts.filter(F.size("h") > 0).groupBy("lines").agg(F.any_value("h").alias("h")).join(one, "lines")
+    text = written(text.select(F.xxhash64("lines").alias("text"), "a", "b", F.pmod("name", F.lit(BUCKETS)).cast("int").alias("name"), "h"), "lines")
+    held = written(of.groupBy(F.xxhash64("lines").alias("text"), "repo").agg(F.min("born").alias("born")).filter("repo IS NOT NULL"), "held")
+    n = text.agg(F.count("*").alias("n")).select(F.greatest(F.lit(RARE_TEXTS), F.col("n") * RARE_SHARE)).scalar()
+    bits = [F.bit_or(F.when(F.floor(F.col("name") / 64) == i, F.expr("shiftleft(1L, name % 64)"))) for i in range(BUCKETS // 64)]
+    names = sum((F.bit_count(F.coalesce(x, F.lit(0).cast("long"))) for x in bits[1:]), F.bit_count(F.coalesce(bits[0], F.lit(0).cast("long"))))
+    stats = text.select("a", "b", "name", F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("df"), names.alias("names"), F.min("a").alias("a"), F.max("b").alias("b"))
+    stats = stats.select("h", ((F.col("df") > n) & (F.col("names") > RARE_BUCKETS)).alias("common"), (F.col("a") != F.col("b")).alias("several")).filter("common OR several")
+    notable = written(text.select("text", F.explode("h").alias("h")).join(stats, "h"), "notable")
+    total = text.select("text", F.size("h").alias("n")).join(notable.groupBy("text").agg(F.count_if("common").alias("common")), "text").select("text", (F.col("n") - F.col("common")).alias("rare"))
+    need = F.when(F.col("rare") >= FEW, F.col("rare") * CONTAINED).when(F.col("rare") >= FEWEST, F.col("rare"))
+    shared = written(notable.filter("several AND NOT common").select("text", "h").join(held, "text"), "shared")
+    other = shared.groupBy("h", F.col("repo").alias("other")).agg(F.min(F.struct("born", "text")).alias("first"))
+    other = other.select("h", "other", F.col("first.born").alias("first"), F.col("first.text").alias("source"))
     other = written(other.withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy("first", "other"))), "other")
+    earlier = (F.col("repo") != F.col("other")) & (F.struct("first", "other") < F.struct("born", "repo"))
 
     def found(lines: DataFrame, repos: DataFrame) -> DataFrame:
-        hits = lines.join(repos, "h").filter((F.col("repo") != F.col("other")) & (F.struct("first", "other") < F.struct("born", "repo")))
-        best = hits.groupBy("text", "repo", "other").agg(F.count("*").alias("held")).join(totals, ["text", "repo"])
-        return best.filter(F.col("held") >= F.col("lines") * CONTAINED).select("text", "repo").distinct()
+        hits = lines.join(repos.drop("rank"), "h").filter(earlier)
+        got = hits.groupBy("text", "repo", "other", "source").agg(F.count("*").alias("got"))
+        got = got.groupBy("text", "repo", "other").agg(F.max("got").alias("most"), F.sum("got").alias("got")).join(total, "text")
+        got = written(got.filter(F.col("got") >= need).select("text", "repo", "other", (F.col("most") >= need).alias("sure"), need.alias("need")), "got")
+        sure = got.filter("sure").select("text", "repo").distinct()
+        doubt = got.filter("NOT sure").join(sure, ["text", "repo"], "left_anti")
+        holders = shared.select("h", F.col("repo").alias("other"), F.col("born").alias("first"), F.col("text").alias("source"))
+        rest = lines.join(doubt, ["text", "repo"]).join(holders, ["h", "other"]).filter(earlier).groupBy("text", "repo", "source").agg(F.count("*").alias("got"), F.max("need").alias("need"))
+        return sure.unionByName(rest.filter("got >= need").select("text", "repo").distinct())
 
     best = written(found(shared, other.filter(F.col("rank") <= EARLIEST)), "best")
     late = shared.join(other.filter(F.col("rank") == EARLIEST + 1).select("h"), "h", "left_semi").select("text", "repo").distinct().join(best, ["text", "repo"], "left_anti")
     best = best.unionByName(found(shared.join(late, ["text", "repo"], "left_semi"), other))
-    same = rows.filter((F.size("h") > 0) & F.col("repo").isNotNull()).select("path", "repo", "born", "whole")
+    same = of.filter("repo IS NOT NULL").select("path", "repo", "born", "whole")
     first = same.groupBy("whole").agg(F.min("repo").alias("a"), F.max("repo").alias("b"), F.min(F.struct("born", "repo")).alias("first")).filter("a <> b")
     same = same.join(first, "whole").filter(F.col("first.repo") != F.col("repo")).select("path")
-    return rows.select("path", "repo", "text").join(best, ["text", "repo"], "left_semi").select("path").unionByName(same).select("path", F.lit("copy").alias("kind")).distinct()
+    return of.select("path", "repo", F.xxhash64("lines").alias("text")).join(best, ["text", "repo"], "left_semi").select("path").unionByName(same).select("path", F.lit("copy").alias("kind")).distinct()
 
 
 def not_handwritten(files: DataFrame, params: DataFrame) -> DataFrame:
@@ -185,11 +233,12 @@ def not_handwritten(files: DataFrame, params: DataFrame) -> DataFrame:
 
     A file is source if its kind says so, or if that is null and it has a language, by its own column or its request's map.
     Texts meet paths by the normal form; a path of several requests is judged by each text, one without a text by its name.
-    Repeated rows count once; null paths are left out. Each text goes through one task by itself."""
+    Repeated rows count once; null paths are left out. Each text is read whole, once, where it lies; what is shuffled are its
+    digests, kinds and line hashes."""
     paths = files.filter(F.col("path").isNotNull()).groupBy("path").agg(F.max(F.when(F.col("kind").isNotNull(), F.col("kind") == "source")).alias("source"), F.max("lang").alias("lang"), F.min("repo").alias("repo"), F.min("mtime").alias("born"))
-    paths = paths.withColumn("norm", normal_path(F.col("path")))
-    texts = params.select(normal_path(F.col("file")).alias("norm"), "content", language_in(F.col("file"), F.col("langmap")).alias("of")).filter("norm IS NOT NULL")
-    rows = paths.join(texts, "norm", "left").filter(F.coalesce("source", F.coalesce("lang", "of").isNotNull()))
-    rows = rows.select("path", "repo", "born", "content", F.coalesce("of", "lang").alias("lang")).repartition("path")
-    said = rows.select("path", "content", "lang").mapInArrow(_kinds, "path string, kind string").filter("kind IS NOT NULL").distinct()
-    return said.unionByName(copies(rows)).distinct()
+    texts = written(read_texts(params), "texts")
+    rows = paths.withColumn("norm", normal_path(F.col("path"))).join(texts.drop("h").distinct(), "norm", "left").filter(F.coalesce("source", F.coalesce("lang", "of").isNotNull()))
+    style = F.coalesce("of", "lang")
+    said = F.when(style.isin([k for k, v in STYLE.items() if v == "hash"]), F.col("hash")).when(style.isin([k for k, v in STYLE.items() if v == "both"]), F.col("both")).otherwise(F.col("slash"))
+    rows = written(rows.select("path", "repo", "born", "lines", "whole", F.coalesce(kind_of_path(F.col("path")), said).alias("kind")), "paths")
+    return rows.filter("kind IS NOT NULL").select("path", "kind").unionByName(copies(rows.drop("kind"), texts.select("lines", "h"))).distinct()

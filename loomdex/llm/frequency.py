@@ -1,4 +1,4 @@
-"""Frequency of every distinct term: a global integer dictionary and count arrays by blocks of its identifiers."""
+"""Frequency of every distinct term: one dictionary of integers for all terms and count arrays by blocks of its identifiers."""
 
 from __future__ import annotations
 
@@ -14,47 +14,59 @@ from loomdex.functions.paths import is_tag, normal_path
 
 #: Identifiers in one block of count arrays.
 BLOCK = 1 << 16
-#: Blocks a task keeps before it sends their counts on.
-HELD = 32
+#: Identifiers with counts that a task keeps before it sends them on.
+HELD = 1 << 21
 
 
 def dictionary(terms: DataFrame) -> DataFrame:
     """(term, id): each distinct term of the column ``term`` with its identifier, dense from 0.
 
-    The distinct terms are written to the shared folder, which fixes their places; a term's identifier is its place in its
-    file's part plus the number of terms in the parts before. One row for each part, never a term, reaches the driver."""
+    The distinct terms are written to the shared folder with the number of their part and their place in it, so a term has one
+    identifier however often and by whatever splits the table is read: its place plus the number of terms in the parts
+    before. One row for each part, never a term, reaches the driver."""
     spark = terms.sparkSession
-    kept = written(terms.select("term").distinct(), "terms").select("term", F.monotonically_increasing_id().alias("mono"))
-    part = F.shiftright("mono", 33)
-    sizes = sorted((x.part, x.n) for x in kept.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    mono = F.monotonically_increasing_id()
+    kept = written(terms.select("term").distinct().select("term", F.shiftright(mono, 33).cast("int").alias("part"), mono.bitwiseAND((1 << 33) - 1).alias("at")), "terms")
+    sizes = sorted((x.part, x.n) for x in kept.groupBy("part").agg(F.count("*").alias("n")).collect())
     begin = np.r_[0, np.cumsum([n for _, n in sizes])].tolist()
-    ahead = F.broadcast(spark.createDataFrame([(p, b) for (p, _), b in zip(sizes, begin, strict=False)], "part long, ahead long"))  # one row for each part
-    return kept.join(ahead, F.col("part") == part).select("term", (F.col("ahead") + F.col("mono").bitwiseAND((1 << 33) - 1)).alias("id"))
+    ahead = F.broadcast(spark.createDataFrame([(p, b) for (p, _), b in zip(sizes, begin, strict=False)], "part int, ahead long"))  # one row for each part
+    return kept.join(ahead, "part").select("term", (F.col("ahead") + F.col("at")).alias("id"))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up (id, n) in arrays of BLOCK counts and sends their non-zero places on."""
-    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def _counted(ids: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct ids in order, and their sums."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, np.int64)
+    return ids[first], *(np.add.reduceat(x[order], first) if len(first) else x for x in sums)
 
-    def send() -> pa.RecordBatch:
-        rows = [(b, at, o[at], r[at]) for b, (o, r) in held.items() for at in [np.flatnonzero(r)]]
-        held.clear()
-        lists = lambda i, kind: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x[1]) for x in rows])], pa.int32()), pa.array(np.concatenate([x[i] for x in rows]), kind))
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), lists(1, pa.int32()), lists(2, pa.int64()), lists(3, pa.int64())], names=["block", "at", "occurrences", "presence"])
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up (id, n): the counts of a task's identifiers, in arrays by block, sent once they are HELD or all are read."""
+
+    def send(ids: np.ndarray, occ: np.ndarray, pres: np.ndarray) -> pa.RecordBatch:
+        block = ids // BLOCK
+        first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        offsets = pa.array(np.r_[first, len(ids)], pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x, kind)) for x, kind in ((ids % BLOCK, pa.int32()), (occ, pa.int64()), (pres, pa.int64()))]
+        return pa.RecordBatch.from_arrays([pa.array(block[first], pa.int64()), *lists], names=["block", "at", "occurrences", "presence"])
+
+    held = (np.zeros(0, np.int64),) * 3
+    fresh: list[tuple[np.ndarray, ...]] = []
+    size = 0
     for b in batches:
-        ids, n = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-        for block in np.unique(ids // BLOCK).tolist():
-            of = ids // BLOCK == block
-            if block not in held:
-                if len(held) == HELD:
-                    yield send()
-                held[block] = np.zeros(BLOCK, np.int64), np.zeros(BLOCK, np.int64)
-            at = ids[of] % BLOCK
-            held[block][0][:] += np.bincount(at, n[of], BLOCK).astype(np.int64)
-            held[block][1][:] += np.bincount(at, minlength=BLOCK)
-    if held:
-        yield send()
+        ids, n = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        fresh.append(_counted(ids, n, np.ones(len(ids), np.int64)))
+        size += len(fresh[-1][0])
+        if size > max(len(held[0]), HELD // 4):
+            held = _counted(*(np.concatenate(x) for x in zip(held, *fresh, strict=True)))
+            fresh, size = [], 0
+            if len(held[0]) >= HELD:
+                yield send(*held)
+                held = (np.zeros(0, np.int64),) * 3
+    held = _counted(*(np.concatenate(x) for x in zip(held, *fresh, strict=True)))
+    if len(held[0]):
+        yield send(*held)
 
 
 def _sum(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

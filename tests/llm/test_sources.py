@@ -73,7 +73,7 @@ def test_long_tables_and_nests():
     assert well_formed("c", f"int t[] = {{ {numbers}, }};") and not well_formed("c", f"int t[] = {{ {numbers} , , }};")
     pairs = ", ".join(["'k' => 1"] * 30_000)
     assert well_formed("php", f"<?php return array({pairs});") and not well_formed("php", f"<?php return array({pairs}, 'k' => );")
-    assert Grammar.shortened("a , b , b , b , b , b , b".split()) == "a , b , b , b , b".split()
+    assert Grammar("s = 'a' ;").shortened("a , b , b , b , b , c , b , c , b , b".split()) == "a , b , b , b , c , b , c , b , b".split()
     deep = "{" * 300 + "}" * 300
     assert well_formed("c", f"void f(void) {deep}") and not well_formed("c", f"void f(void) {{ {deep}")
     assert well_formed("c", "int x = " + "(" * 300 + "1" + ")" * 300 + ";")
@@ -91,8 +91,42 @@ def test_nests_in_texts_of_many_tokens():
     both("c", "int y = q ? q ? q ? q ? q ? a : b, a : b, a : b, a : b, a : b;", "int y = (q ? q ? q ? q ? a : b, a : b, a : b, a : b, a : b);")
     both("cpp", "map<a, map<a, map<a, map<a, map<a, b>>>>> y;", "map<a, map<a, map<a, map<a, map<a, b>>>>>> y;")
     both("python", "y = lambda p=lambda p=lambda p=lambda p=lambda: 1, q=1: 1, q=1: 1, q=1: 1, q=1: 1\n", "y = lambda p=lambda p=lambda p=lambda: 1, q=1: 1, q=1: 1, q=1: 1, q=1: 1\n")
-    table = ["NUM", ",", "(", "NUM", ")", ","] + ["ID", ":", "ID", "(", ")", ","] * 9 + ["NUM"]
-    assert Grammar.shortened(table) == table[:6] + table[6:12] * 3 + ["NUM"]
+
+
+
+def test_every_branch_is_read():
+    w = lambda t, lang="c": well_formed(lang, t)
+    assert not w("#if A\nint x;\n#elif B\nint ((( y;\n#else\nint z;\n#endif\n") and not w("#if A\nint x;\n#else\nint ((( y;\n#endif\n")
+    assert w("#if A\nint x;\n#elif B\nint y;\n#else\nint z;\n#endif\n")
+    # a condition that stands twice has one value, whichever way it is asked
+    pair = "int f(int a)\n{\n#ifdef A\nif (a) {\n#endif\na++;\n%s\n}\n#endif\nreturn a;\n}\n"
+    assert w(pair % "#ifdef A") and w(pair % "#if defined(A)") and w(pair.replace("#ifdef A", "#if !defined A") % "#ifndef A")
+    assert w("#ifdef A\nint f(int a) {\n#else\nint f(long a) {\n#endif\n#ifndef A\na++;\n#else\na--;\n#endif\n}")
+    assert w("#ifndef H\n#define H\n#ifdef H\nint x;\n#endif\n#endif") and not w("#ifndef H\n#define H\n#ifdef H\nint x\n#endif\n#endif")
+    assert w("#if 1\nint x;\n#else\n((\n#endif\n#if 0\n((\n#elif B\nint y;\n#endif") and not w("#if 0\n((\n#elif B\nint y\n#endif")
+    nested = "#if A\n#if B\nint x;\n#else\n%s\n#endif\n#else\n#if B\nint y;\n#else\n%s\n#endif\n#endif\n"
+    assert w(nested % ("int z;", "int u;")) and not w(nested % ("int z", "int u;")) and not w(nested % ("int z;", "int u"))
+    assert w("%%\na : b\n#if A\n { x(); }\n#else\n { y(); }\n#endif\n ;\n", "yacc") and not w("%%\na : b\n#if A\n { x(); }\n#else\n { y() }\n#endif\n ;\n", "yacc")
+    assert w('auto s = R"x(\n#if (((\n)x";\n', "cpp")
+
+
+def test_what_stands_in_strings_of_expressions():
+    assert well_formed("javascript", "x = `a${b + `c${ {d: 1}.d }`}e${f}` / 2\ny = `${\n z\n}`") and not well_formed("javascript", "x = `a${ (((( }`") and not well_formed("javascript", "x = `a${b} ${`")
+    assert well_formed("python", "x = f'{a!r:>{w}} {{}} {b[\"k\"]:%d} {c=}' rf\"{d}\"\n") and not well_formed("python", "x = f'{a b}'\n") and not well_formed("python", "x = f'{a'\n") and not well_formed("python", "x = f'}'\n")
+
+
+def test_one_dialect_for_the_whole_text():
+    both = [("python", 'print "x"\n', "async def f():\n    if (y := 1): pass\n"), ("python", "try:\n    x\nexcept E, e:\n    y\n", "match z:\n    case 1: pass\n"), ("python", "x = 0777\n", "def f(a: int): pass\n"), ("python", "print `x`, 10L, ur'a'\n", "x = 1_000\n"), ("javascript", "with (a) b()\n", "import c from 'c'\n"), ("php", "<?php $a{0}; ", "enum E: int { case A = 1; }")]
+    for lang, a, b in both:
+        assert well_formed(lang, a) and well_formed(lang, b if lang != "php" else "<?php " + b) and not well_formed(lang, a + b), (a, b)
+
+
+def test_a_list_reads_alike_at_any_size():
+    for n in (1, 3_000):
+        filler = "x = y + 1;\n" * n
+        assert not well_formed("javascript", filler + "x = [,[,[,[,[,[,[,[,1]]];") and well_formed("javascript", filler + "x = [,[,[,[,[,[,[,[,1]]]]]]]];")
+    choices = ", ".join(["a ? 1 : 2"] * 30_000)
+    assert well_formed("c", f"int t[] = {{ {choices} }};") and not well_formed("c", f"int t[] = {{ {choices}, a ? 1 }};")
 
 
 def test_python_against_its_own_parser(spark, data):
@@ -148,9 +182,19 @@ NOTES = [
 ]
 
 
-@pytest.mark.parametrize("path, text, want", NOTES)
-def test_kinds(path, text, want):
-    assert handwritten.kind(path, text, "python" if path.endswith("py") else "javascript" if path.endswith("js") else "c") == want
+def test_kinds(rows):
+    said = rows([(i, p) for i, (p, _, _) in enumerate(NOTES)], "i int, path string").select("i", handwritten.kind_of_path(F.col("path")).alias("k")).collect()
+    by = {x.i: x.k for x in said}
+    for i, (path, text, want) in enumerate(NOTES):
+        assert (by[i] or handwritten.kind_of_text(text, "hash" if path.endswith("py") else "slash")) == want, (path, text)
+
+
+def copies(rows, recs):
+    """The paths of copies among (path, repo, born, content)."""
+    d = rows(recs, "path string, repo string, born timestamp, content string").withColumn("born", F.col("born").cast("timestamp_ntz"))
+    t = handwritten.read_texts(d.selectExpr("coalesce(path, '/none') AS file", "NULL AS langmap", "content"))
+    m = d.withColumn("norm", F.coalesce("path", F.lit("/none"))).join(t.select("norm", "lines", "whole").distinct(), "norm")
+    return {x.path for x in handwritten.copies(m, t.select("lines", "h")).collect()}
 
 
 FILES = "fid long, path string, kind string, lang string, repo string, mtime timestamp, content int"
@@ -162,8 +206,8 @@ def test_copies_between_repositories(rows):
 
     edited = text("lib").replace("number_3(", "number_three(") + "\nint a_line_of_its_own_here(void);"
     recs = [("./a/x.c", "a", "2025-01-01", text("lib")), ("./b/x.c", "b", "2025-02-01", edited), ("./c/y.c", "c", "2025-03-01", text("own")), ("./a/z.c", "a", "2025-03-01", text("lib")), ("./d/s.c", "d", "2025-03-01", text("lib", 3)), ("./e/n.c", "e", None, None), ("./f/half.c", "f", "2025-04-01", text("lib", 8) + "\n" + text("more", 12))]
-    got = sorted(x.path for x in handwritten.copies(rows(recs, "path string, repo string, born timestamp, content string").selectExpr("path", "repo", "cast(born as timestamp_ntz) born", "content")).collect())
-    assert got == ["./b/x.c"]
+    recs = [(p.strip("."), *x) for p, *x in recs]
+    assert copies(rows, recs) == {"/b/x.c", "/d/s.c"}
 
 
 @pytest.mark.parametrize("earliest", [64, 1])
@@ -178,8 +222,7 @@ def test_many_edited_and_short_copies(rows, monkeypatch, earliest):
     late = [f"int late_function_number_{i}(void);" for i in range(20)]
     recs += [(f"/x{k}/late.c", f"x{k}", f"2025-02-0{k + 1}", "\n".join(x)) for k, x in enumerate([late[:10], late[10:], late, ["int a_late_line_of_its_own(void);", *late[1:]]])]
     recs += [("/s/short.c", "s", "2025-01-02", "int short_text(void);\r\nx\r\n"), ("/t/short.c", "t", "2025-01-03", "int short_text(void);\nx\n"), ("/t/other.c", "t", "2025-01-03", "int short_text(void);\ny\n"), (None, None, None, "int short_text(void);\nx\n"), ("/s/tiny.c", "s", "2025-01-02", "x"), ("/t/tiny.c", "t", "2025-01-03", "x")]
-    got = {x.path for x in handwritten.copies(rows(recs, "path string, repo string, born timestamp, content string").withColumn("born", F.col("born").cast("timestamp_ntz"))).collect()}
-    assert got == {f"/{r}/zip.c" for r in lines if r != "r00"} | {"/x3/late.c", "/t/short.c"}
+    assert copies(rows, recs) == {f"/{r}/zip.c" for r in lines if r != "r00"} | {"/x3/late.c", "/t/short.c", "/t/tiny.c"}
 
 
 def test_paths_nulls_and_repeats(rows):
@@ -205,11 +248,19 @@ def test_counts_and_marks(rows, monkeypatch):
 
 
 def test_dictionary_is_dense(rows):
-    ids = sorted(x.id for x in frequency.dictionary(rows([(f"t{i % 300}",) for i in range(900)], "term string")).collect())
-    assert ids == list(range(300))
-
-
-def test_blocks_add_up_past_what_is_held():
+    d = frequency.dictionary(rows([(f"t{i % 300}",) for i in range(900)], "term string"))
+    ids = {x.term: x.id for x in d.collect()}
+    assert sorted(ids.values()) == list(range(300))
+    spark, width = d.sparkSession, d.sparkSession.conf.get("spark.sql.files.maxPartitionBytes")
+    try:  # read by other splits, the terms have the same ids
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
+        assert {x.term: x.id for x in d.select("*").repartition(7).collect()} == ids
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", width)
+
+
+def test_blocks_add_up_past_what_is_held(monkeypatch):
+    monkeypatch.setattr(frequency, "HELD", 32)
     import numpy as np
     import pyarrow as pa
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+import os
 from collections.abc import Iterator
 from functools import cache
 
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bytes of text that are handled at once; a block holds more only where a single text does.
 BLOCK_BYTES = 2 << 20
+#: Blocks whose words one task encodes: of a word that stands in every block no task gets more rows.
+SPREAD = 4096
 #: Words of more characters are hashed one by one.
 LONG = 256
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, any
@@ -188,10 +191,28 @@ def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+def shipped(spark, path: str) -> str:
+    """The vocabulary's path, after its file was sent to all executors where the driver has it."""
+    if os.path.exists(path):
+        spark.sparkContext.addFile(path)
+    return path
+
+
+def _here(path: str) -> str:
+    """Where this worker has the file: among those sent with the job, else at its own path."""
+    from pyspark import SparkFiles
+
+    try:
+        sent = SparkFiles.get(os.path.basename(path))
+    except Exception:  # no job here
+        return path
+    return sent if os.path.exists(sent) else path
+
+
 @cache
 def ranks(path: str) -> dict[bytes, int]:
     """Bytes of each token and its id."""
-    with open(path, "rb") as f:
+    with open(_here(path), "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
@@ -265,15 +286,20 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY, cou
     One pass sums the bytes of the texts for the number of blocks. Rows are dealt to blocks by a hash of key and
     text, each block's distinct words are sent by hash to where each word is encoded once, and back to the block,
     which meets its texts there and puts the ids at the words' places. Both shuffles spread evenly, whatever text
-    or word is frequent: a word comes at most once from each block and batch. Whole texts are encoded, however long. Repeated
+    or word is frequent: a word comes at most once from each block and batch, and the words of each SPREAD blocks are encoded
+    apart, so no task gets more rows of one word than that. A task of the last step has two blocks, whatever
+    number of partitions the session sets. The vocabulary's file is sent to the executors. Whole texts are encoded, however long. Repeated
     rows and keys come out as often as they are in; extra columns are ignored."""
+    spark = df.sparkSession
     rows = df.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_BYTES))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
     words = rows.select("block", "text").mapInArrow(_block_words, "block int, h1 long, h2 long, word binary")
-    words = words.repartition("h1").sortWithinPartitions("h1", "h2").mapInArrow(_encode_words(vocabulary), "block int, h1 long, h2 long, ids array<int>")
+    words = words.repartition("h1", F.floor(F.col("block") / SPREAD)).sortWithinPartitions("h1", "h2").mapInArrow(_encode_words(shipped(spark, vocabulary)), "block int, h1 long, h2 long, ids array<int>")
     kind = rows.schema["id"].dataType.simpleString()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(blocks / 2))
+    rows, words = rows.repartition(tasks, "block"), words.repartition(tasks, "block")
     out = rows.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_join(counts), f"id {kind}, " + ("tokens long" if counts else "ids array<int>"))
     return out.withColumnRenamed("id", key)
 
@@ -327,4 +353,4 @@ def decode(df: DataFrame, key: str, ids: str, vocabulary: str = VOCABULARY) -> D
     U+FFFD; a null list stays null, an empty one is the empty text. Repeated rows come out as often."""
     rows = df.select(F.col(key).alias("id"), F.col(ids).cast("array<int>").alias("ids"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_decode(vocabulary), f"id {kind}, text string").withColumnRenamed("id", key)
+    return rows.mapInArrow(_decode(shipped(df.sparkSession, vocabulary)), f"id {kind}, text string").withColumnRenamed("id", key)

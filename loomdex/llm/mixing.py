@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from loomdex.common import written
 from loomdex.llm import tokens
 
-#: Ranges of the seeded order over which running sums are taken in parallel.
-BUCKETS = 1 << 12
+#: Ranges of the seeded order over which running sums are taken in parallel: at least so many, and so many texts in each of a
+#: pattern that holds all.
+BUCKETS, BUCKET_TEXTS = 1 << 12, 20_000
 #: Most membership patterns the driver routes; k sources have fewer than 2**k.
 MOST_PATTERNS = 100_000
 
@@ -147,14 +148,15 @@ class Mix:
         A pattern's texts lie on a ring in seeded order, each as long as its tokens; its sources take consecutive
         stretches of it, round after round, and a text is used as often as a stretch covers its beginning. So the uses of
         any two texts differ by one at most, and a source's sum differs from its flow by less than one text for each
-        pattern. Running sums are taken in BUCKETS ranges of the order at once."""
+        pattern. Running sums are taken in ranges of the order at once, whose number grows with the texts."""
         rows, begin = [], {}
         for (p, s), n in sorted(self.flow.items()):
             rows.append((list(p), s, begin.get(p, 0), n))
             begin[p] = begin.get(p, 0) + n
         plan = F.broadcast(self.spark.createDataFrame(rows, "pattern array<string>, source string, lo long, n long"))  # one row for each arc of the flow
         order = F.xxhash64(F.lit(self.seed), F.col("digest"))
-        t = self.texts.filter("tokens > 0").withColumn("order", order).withColumn("bucket", F.shiftrightunsigned("order", 64 - BUCKETS.bit_length() + 1))
+        bits = max(BUCKETS.bit_length() - 1, (self.rows.count() // BUCKET_TEXTS).bit_length())
+        t = self.texts.filter("tokens > 0").withColumn("order", order).withColumn("bucket", F.shiftrightunsigned("order", 64 - bits))
         ahead = t.groupBy("pattern", "bucket").agg(F.sum("tokens").alias("n"))
         w = Window.partitionBy("pattern").orderBy("bucket")
         ahead = ahead.withColumn("ahead", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).withColumn("ring", F.sum("n").over(Window.partitionBy("pattern"))).drop("n")

@@ -23,14 +23,19 @@ LOOKALIKES = """
 А A  В B  Е E  Ѕ S  І I  Ј J  К K  М M  Н H  О O  Р P  С C  Т T  Х X  Ү Y  Ԍ G  Ԛ Q  Ԝ W
 а a  с c  ԁ d  е e  һ h  і i  ј j  о o  р p  ԛ q  ѕ s  ԝ w  х x  у y  ӏ l
 Α A  Β B  Ε E  Ζ Z  Η H  Ι I  Ϳ J  Κ K  Μ M  Ν N  Ο O  Ρ P  Τ T  Υ Y  Χ X  Ϲ C
-ο o  ϲ c  ϳ j  օ o  Օ O
+ο o  ν v  ϲ c  ϳ j  օ o  Օ O  ս u  հ h  ց g  զ q  ѵ v  Ѵ V  ү y  ɡ g
+Ꭰ D  Ꭱ R  Ꭲ T  Ꭵ i  Ꭺ A  Ꭻ J  Ꭼ E  Ꮃ W  Ꮇ M  Ꮋ H  Ꮍ Y  Ꮐ G  Ꮒ h  Ꮓ Z  Ꮟ b  Ꮢ R  Ꮥ S  Ꮩ V  Ꮪ S  Ꮮ L  Ꮯ C  Ꮲ P  Ꮶ K  Ᏼ B
+ꓐ B  ꓑ P  ꓒ d  ꓓ D  ꓔ T  ꓖ G  ꓗ K  ꓙ J  ꓚ C  ꓜ Z  ꓝ F  ꓟ M  ꓠ N  ꓡ L  ꓢ S  ꓣ R  ꓦ V  ꓧ H  ꓪ W  ꓫ X  ꓬ Y  ꓮ A  ꓰ E  ꓲ I  ꓳ O  ꓴ U
+Ⲃ B  Ⲏ H  Ⲓ I  Ⲕ K  Ⲙ M  Ⲛ N  Ⲟ O  ⲟ o  Ⲣ P  ⲣ p  Ⲥ C  ⲥ c  Ⲧ T  Ⲭ X
 Ⅰ I  Ⅴ V  Ⅹ X  Ⅼ L  Ⅽ C  Ⅾ D  Ⅿ M  ⅰ i  ⅴ v  ⅹ x  ⅼ l  ⅽ c  ⅾ d  ⅿ m
 ‐ -  ‑ -
 """
 # Invisible characters (first and last code point of each range). Direction overrides and variation
 # selectors stay: they change what is seen. Joiners are dropped unless what stands beside them joins.
-INVISIBLE = [(0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x200B, 0x200B), (0x200E, 0x200F), (0x202A, 0x202C), (0x2060, 0x2064), (0x2066, 0x206F), (0xFE00, 0xFE0D), (0xFEFF, 0xFEFF), (0xE0000, 0xE007F)]
+INVISIBLE = [(0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180E), (0xFFA0, 0xFFA0), (0x200B, 0x200B), (0x200E, 0x200F), (0x202A, 0x202C), (0x2060, 0x2064), (0x2066, 0x206F), (0xFE00, 0xFE0D), (0xFEFF, 0xFEFF), (0xE0000, 0xE007F)]
 JOINERS = (0x200C, 0x200D)
+# Blank characters that are no space by their class.
+BLANK = (0x2800, 0x3164)
 # Where a joiner between two characters is seen: cursive and Indic scripts, pictures.
 JOINING = [(0x600, 0x8FF), (0x900, 0xDFF), (0xF00, 0x109F), (0x1780, 0x18AF)]
 PICTURES = [(0x2190, 0x2BFF), (0xFE0F, 0xFE0F), (0x1F000, 0x1FAFF)]
@@ -78,7 +83,7 @@ def tables() -> Tables:
                     pairs[a << 21 | b] = cp
         elif cp in alike:
             replace(cp, [alike[cp]])
-        elif unicodedata.category(ch) == "Zs" and cp != 0x1680:
+        elif unicodedata.category(ch) == "Zs" and cp != 0x1680 or cp in BLANK:
             replace(cp, [0x20])
     for lead in range(19):
         for vowel in range(21):

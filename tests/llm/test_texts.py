@@ -36,7 +36,7 @@ def brute_form(s):
             c = "".join(chr(int(x, 16)) for x in kind[2].split())
         for d in unicodedata.normalize("NFD", c):
             d = ALIKE.get(d, d)
-            out.append(" " if unicodedata.category(d) == "Zs" and ord(d) != 0x1680 else d)
+            out.append(" " if unicodedata.category(d) == "Zs" and ord(d) != 0x1680 or ord(d) in visual.BLANK else d)
     return unicodedata.normalize("NFC", "".join(out))
 
 
@@ -211,6 +211,42 @@ def test_given_total(rows, encoder):
     assert 90 <= x.used_tokens <= 110 and x.share == 1.0
 
 
+def test_a_frequent_word_is_spread(spark, encoder, monkeypatch):
+    monkeypatch.setattr(tokens, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(tokens, "SPREAD", 3)
+    d = spark.range(200).selectExpr("id", "concat('the same words again ', id) AS text")
+    got = {x.id: list(x.ids) for x in tokens.encode(d, "id", "text").collect()}
+    assert got == {i: encoder.encode_ordinary(f"the same words again {i}") for i in range(200)}
+
+
+def test_mix_of_the_table(spark, data, encoder):
+    """Quotas, shares and uses of the report against the selection, the selection against the texts, by brute force."""
+    d, targets = table(spark, data, "documents"), table(spark, data, "mix_targets").collect()
+    m = mixing.Mix(d, table(spark, data, "mix_targets"))
+    docs = {x.doc_id: (x.source, x.text) for x in d.collect()}
+    picked = [tuple(x) for x in m.selection().select("doc_id", "source", "tokens", "uses").collect()]
+    report = {x.source: x for x in m.report().collect()}
+    assert set(report) == {x.source for x in targets}
+    used, texts = {}, {}
+    for doc, source, size, uses in picked:
+        of, text = docs[doc]
+        assert of == source and size == len(encoder.encode_ordinary(text)) and 1 <= uses <= report[source].max_repeats
+        assert text not in texts.setdefault(source, set())
+        texts[source].add(text)
+        used[source] = used.get(source, 0) + size * uses
+    have = {s: {t for o, t in docs.values() if o == s and t} for s in report}
+    share = sum(report[s].weight for s in report if have[s])
+    total = sum(x.quota for x in report.values())
+    longest = max(len(encoder.encode_ordinary(t)) for ts in have.values() for t in ts)
+    patterns = len({tuple(sorted(s for s in have if t in have[s])) for ts in have.values() for t in ts})
+    for s, x in report.items():
+        assert x.used_tokens == used.get(s, 0) and x.documents == len(have[s]) and x.tokens == sum(len(encoder.encode_ordinary(t)) for t in have[s])
+        assert abs(x.quota - total * x.weight / share) <= len(report) if have[s] else x.quota == 0
+        assert abs(x.used_tokens - x.quota) <= longest * patterns and abs(x.share - x.used_tokens / sum(used.values())) < 1e-9
+    # one source at least is used up: the total can't be larger
+    assert any(x.quota >= x.tokens * x.max_repeats - len(report) for s, x in report.items() if have[s])
+
+
 def test_every_text_of_the_table(spark, data, encoder):
     d = table(spark, data, "documents")
     texts = dict(d.select("doc_id", "text").toPandas().itertuples(index=False, name=None))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,13 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (as in tests) a temporary folder of this machine is set."""
+    Only where the session names none and runs on this machine alone (as in tests) a temporary folder is set; on a
+    cluster a folder of one machine would lose what the others write, so there the setting is asked for."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="loomdex-")
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -36,9 +40,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes all tables ``written`` so far by this driver and returns their number. Results made from them must have been
+    used or stored before."""
+    for path in (gone := _WRITTEN[:]):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _WRITTEN.remove(path)
+    return len(gone)
+
+
 def wide_hash(*cols: Column | str) -> tuple[Column, Column]:
     """A 64-bit and a 32-bit hash by independent functions, together a 96-bit stand-in for the columns' values.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,13 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomdex.common import wide_hash
+from loomdex.common import wide_hash, written
 from loomdex.functions.paths import fid_number, is_tag, normal_path
 
-#: Number of equal ranges of the 64-bit hash over which rows are counted; the counts are at most this many rows.
-FINE = 4096
-#: Rows (references and parents) that one task should hold.
-TARGET_ROWS = 1_000_000
+#: Rows (references and parents) that one group should hold; a task takes its groups one after the other.
+TARGET_ROWS = 250_000
 FOREVER = np.iinfo(np.int64).max
 
 
@@ -88,32 +85,43 @@ def orphans(refs: DataFrame, parents: DataFrame, target_rows: int = TARGET_ROWS)
     a reference is an orphan if no parent with its kind and key has loaded_at <= at and (removed_at null or at < removed_at).
     Returns kind, ref_id, at of each orphan, once for each (kind, ref_id).
 
-    Keys are range-partitioned by their 64-bit hash. Rows are counted over FINE equal ranges (at most FINE rows
-    reach the driver); neighbouring ranges are packed to target_rows, and the references of a range above it, as under
-    a key that a third of all rows name, are dealt over several tasks, each with that range's few parents. A task
-    keeps the parents as sorted arrays and probes all its references by binary search. Keys travel as 96 bits of
+    Keys are range-partitioned by their 64-bit hash into ranges of half of target_rows on average, references and
+    parents together; both are hashed once and written. Only a range above target_rows, as of a key that a third of all rows name,
+    is looked at by itself (such ranges, at most one for each target_rows rows, reach the driver): its time is cut so
+    that a slice starts no more than target_rows lifetimes, and its references are dealt over salts, each with
+    the lifetimes of its slice. Lifetimes of a key are disjoint, so of each key one at most is repeated for a cut. A group keeps the
+    parents as sorted arrays and probes all its references by binary search. Keys travel as 96 bits of
     hash, so the shuffle's size doesn't depend on their length.
 
     Null keys are no references; a null time is in no lifetime, so its reference is an orphan. Empty tables on either
     side are fine. Repeated rows count once. Extra columns are ignored."""
     spark = refs.sparkSession
     hashed = lambda d: d.filter(F.col("key").isNotNull()).withColumns(dict(zip(("h1", "h2"), wide_hash("key"), strict=True)))
-    fine = F.shiftrightunsigned(F.col("h1"), 64 - int(math.log2(FINE))).cast("int")
     r = hashed(refs).select("kind", "h1", "h2", F.col("ref_id").cast("long").alias("ref_id"), F.coalesce(F.unix_micros(F.col("at").cast("timestamp")), F.lit(-FOREVER)).alias("at"))
-    p = merged_lifetimes(hashed(parents))
-    counts = {x.fine: x["count"] for x in r.groupBy(fine.alias("fine")).count().collect()}
-    parts, part, held = [], 0, 0
-    for f in range(FINE):
-        n = counts.get(f, 0)
-        if held and held + n > target_rows:
-            part, held = part + 1, 0
-        parts.append((f, part, max(1, math.ceil(n / target_rows))))
-        held += n
-    plan = lambda: F.broadcast(spark.createDataFrame(parts, "fine int, part int, salts int"))  # noqa: E731  FINE rows
-    r = r.withColumn("fine", fine).join(plan(), "fine").withColumn("salt", F.pmod(F.xxhash64("ref_id", "at"), F.col("salts")).cast("int"))
-    p = p.withColumn("fine", fine).join(plan(), "fine").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    r, p = r.select("part", "salt", "kind", "h1", "h2", "ref_id", "at"), p.select("part", "salt", "kind", "h1", "h2", "start", "end")
-    miss = r.groupBy("part", "salt").cogroup(p.groupBy("part", "salt")).applyInArrow(_probe, "kind int, ref_id long, at long")
+    r, p = written(r, "references"), written(merged_lifetimes(hashed(parents)), "parents")
+    total = r.count() + p.count()
+    bits = max(1, (2 * total // target_rows).bit_length(), (spark.sparkContext.defaultParallelism - 1).bit_length())
+    part = F.shiftrightunsigned("h1", 64 - bits)
+    both = r.select(part.alias("part"), F.lit(1).alias("r"), F.lit(None).cast("long").alias("start")).unionByName(p.select(part.alias("part"), F.lit(0).alias("r"), "start"))
+    sizes = both.groupBy("part").agg(F.sum("r").alias("r"), F.count("start").alias("p")).filter(F.col("r") + F.col("p") > target_rows).collect()
+    large = {x.part: (-(-x.r // target_rows) or 1, -(-x.p // target_rows) or 1) for x in sizes}
+    cuts = dict.fromkeys(large, ())
+    for slices in sorted({k for _, k in large.values() if k > 1}):
+        parts = [x for x, (_, k) in large.items() if k == slices]
+        found = p.withColumn("part", part).filter(F.col("part").isin(parts)).groupBy("part").agg(F.percentile_approx("start", [i / slices for i in range(1, slices)], 100 * slices).alias("cuts"))
+        cuts |= {x.part: tuple(sorted(set(x.cuts))) for x in found.collect()}
+    r, p = r.withColumn("part", part), p.withColumn("part", part)
+    if large:
+        plan = F.broadcast(spark.createDataFrame([(x, salts, list(cuts[x])) for x, (salts, _) in large.items()], "part long, salts int, cuts array<long>"))  # large ranges only
+        r, p = (d.join(plan, "part", "left").fillna(1, ["salts"]).withColumn("cuts", F.coalesce("cuts", F.array().cast("array<long>"))) for d in (r, p))
+        slice_of = lambda at: F.size(F.filter("cuts", lambda c: c <= at))
+        r = r.withColumn("slice", slice_of(F.col("at"))).withColumn("salt", F.pmod(F.xxhash64("ref_id", "at"), F.col("salts")).cast("int"))
+        p = p.withColumn("slice", F.explode(F.sequence(slice_of(F.col("start")), slice_of(F.col("end") - 1)))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    else:
+        r, p = (d.withColumns({"slice": F.lit(0), "salt": F.lit(0)}) for d in (r, p))
+    group = ["part", "slice", "salt"]
+    r, p = r.select(*group, "kind", "h1", "h2", "ref_id", "at"), p.select(*group, "kind", "h1", "h2", "start", "end")
+    miss = r.groupBy(*group).cogroup(p.groupBy(*group)).applyInArrow(_probe, "kind int, ref_id long, at long")
     return miss.groupBy("kind", "ref_id").agg(F.min("at").alias("at")).withColumn("at", F.when(F.col("at") > -FOREVER, F.timestamp_micros("at")))
 
 

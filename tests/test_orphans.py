@@ -1,3 +1,5 @@
+from pyspark.accumulators import AccumulatorParam
+
 from loomdex.operators import orphans
 from loomdex.operators.orphans import index_orphans
 
@@ -62,3 +64,48 @@ def test_index_with_extra_columns(rows):
     files = rows([(7, "./x.c", "2025-01-01", None, "c")], "fid long, path string, loaded_at timestamp, removed_at timestamp, kind string")
     got = {(x.ref_table, x.field, x.ref_id) for x in index_orphans(gtp, parsed, defs, files).collect()}
     assert got == {("gtp", "tag", 1), ("parsefile_data", "fid", 3)}
+
+
+def groups(spark, monkeypatch, refs, parents, target):
+    """Rows of references and parents by group, and the result."""
+    seen = spark.sparkContext.accumulator([], Lists())
+    probe = orphans._probe
+
+    def counted(r, p):
+        seen.add([(r.num_rows, p.num_rows)])
+        return probe(r, p)
+
+    monkeypatch.setattr(orphans, "_probe", counted)
+    got = {(x.kind, x.ref_id) for x in orphans.orphans(refs, parents, target).collect()}
+    return seen.value, got
+
+
+class Lists(AccumulatorParam):
+    def zero(self, value):
+        return []
+
+    def addInPlace(self, a, b):
+        return a + b
+
+
+def test_many_parents_are_parted(spark, monkeypatch):
+    refs = spark.range(1000).selectExpr("1 kind", "concat('k', id * 3000) key", "id ref_id", "timestamp'2025-02-01' at")
+    parents = spark.range(3_000_000).selectExpr("1 kind", "concat('k', id) key", "timestamp'2025-01-01' loaded_at", "if(id % 6000 = 0, timestamp'2025-01-15', null) removed_at")
+    sizes, got = groups(spark, monkeypatch, refs, parents, 100_000)
+    assert len(sizes) > 30 and max(a + b for a, b in sizes) <= 100_000 and sum(b for _, b in sizes) == 3_000_000
+    assert got == {(1, i) for i in range(0, 1000, 2)}
+
+
+def test_one_key_of_many_lifetimes_is_cut_by_time(spark, monkeypatch):
+    refs = spark.range(20_000).selectExpr("1 kind", "'hot' key", "id ref_id", "timestamp_seconds(1700000000 + id * 10) at")
+    parents = spark.range(50_000).selectExpr("1 kind", "'hot' key", "timestamp_seconds(1700000000 + id * 4) loaded_at", "timestamp_seconds(1700000002 + id * 4) removed_at")
+    sizes, got = groups(spark, monkeypatch, refs, parents, 5_000)
+    assert max(b for _, b in sizes) < 6_000 and max(a for a, _ in sizes) <= 5_000
+    assert got == {(1, i) for i in range(20_000) if (i * 10) % 4 >= 2 or i * 10 >= 200_000}
+
+
+def test_lifetimes_that_span_cuts(rows):
+    parents = [(1, "hot", f"2025-01-{d:02d} 00:00:00", f"2025-01-{d + 1:02d} 00:00:00") for d in range(1, 28, 2)] + [(1, f"k{i}", "2024-01-01", None) for i in range(12)] + [(1, f"e{i}", "2025-01-05", "2025-01-20") for i in range(12)]
+    refs = [(1, k, 100 * n + d, f"2025-01-{d:02d} 12:00:00") for n, k in enumerate(["hot", "none", *[f"k{i}" for i in range(12)], *[f"e{i}" for i in range(12)]]) for d in range(1, 29)]
+    for target in (2, 5, 20, 1000):
+        assert run(rows, refs, parents, target) == brute(refs, parents)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from loomdex.common import written
 from loomdex.functions.paths import is_tag, normal_path
 
-#: Width of the value ranges by which ranks are found in two steps.
-SPAN = 64
+#: Bits of a value that one step of a rank search decides: a step orders at most 2 ** STEP ranges of a key.
+STEP = 11
 
 
 def records(gtp: DataFrame, *cols: str) -> DataFrame:
@@ -37,17 +38,24 @@ def key_percentiles(pairs: DataFrame, ps: tuple[float, ...]) -> DataFrame:
     """key and p50, p90, ...: for each p the smallest value at or below which at least the share p of the key's
     non-null values lies. Values are integers. Keys whose values are all null don't come out.
 
-    The rank is sought first among ranges of SPAN values, then inside the one range that holds it, so no task sorts
-    all values of a key."""
-    rows = pairs.filter(F.col("value").isNotNull()).withColumn("span", F.floor(F.col("value") / SPAN))
-    spans = rows.groupBy("key", "span").agg(F.sum("w").alias("sw"))
-    w = Window.partitionBy("key").orderBy("span").rowsBetween(Window.unboundedPreceding, 0)
-    spans = spans.withColumn("upto", F.sum("sw").over(w)).withColumn("n", F.sum("sw").over(Window.partitionBy("key")))
-    spans = spans.withColumn("p", F.explode(F.array(*[F.lit(p) for p in ps]))).withColumn("rank", F.ceil(F.col("n") * F.col("p")))
-    spans = spans.filter((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("sw"))).select("key", "span", "p", (F.col("rank") - F.col("upto") + F.col("sw")).alias("rank"))
-    w = Window.partitionBy("key", "span", "p").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    hit = rows.join(spans, ["key", "span"]).withColumn("upto", F.sum("w").over(w)).filter(F.col("upto") >= F.col("rank"))
-    return hit.groupBy("key").agg(*[F.min(F.when(F.col("p") == p, F.col("value"))).alias(f"p{round(100 * p)}") for p in ps])
+    The rank is sought among the values' leading bits, then among the next STEP bits below those found, and so on to the
+    values themselves, so no task orders more than 2 ** STEP ranges or values of a key, however many it has."""
+    rows = pairs.filter(F.col("value").isNotNull())
+    bits = 64 if isinstance(rows.schema["value"].dataType, LongType) else 32
+    levels = [rows.select("key", F.col("value").alias("at"), "w")]
+    for _ in range(STEP, bits - 1, STEP):
+        levels.append(levels[-1].groupBy("key", F.shiftright("at", STEP).alias("at")).agg(F.sum("w").alias("w")))
+    top = levels.pop()
+    n = F.sum("w").over(Window.partitionBy("key"))
+    here = top.withColumn("n", n).withColumn("p", F.explode(F.array(*[F.lit(p) for p in ps]))).withColumn("rank", F.ceil(F.col("n") * F.col("p")))
+    while True:
+        upto = F.sum("w").over(Window.partitionBy("key", "p").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+        here = here.withColumn("upto", upto).filter((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("w")))
+        here = here.select("key", "p", "at", (F.col("rank") - F.col("upto") + F.col("w")).alias("rank"))
+        if not levels:
+            return here.groupBy("key").agg(*[F.min(F.when(F.col("p") == p, F.col("at"))).alias(f"p{round(100 * p)}") for p in ps])
+        below = levels.pop()
+        here = below.withColumn("above", F.shiftright("at", STEP)).join(here.withColumnRenamed("at", "above"), ["key", "above"])
 
 
 def hot_keys(gtp: DataFrame, share: float = 0.01) -> DataFrame:

@@ -30,7 +30,28 @@ def test_percentiles_over_many_spans(rows):
     assert (x.p25, x.p50, x.p99) == (want[499], want[999], want[1979])
 
 
+def test_percentiles_of_wide_values(rows):
+    import random
+
+    r = random.Random(7)
+    for kind, most in (("int", 2**31 - 1), ("long", 2**62)):
+        vals = [r.randint(-most, most) for _ in range(500)] + [0, -1, 1, most, -most] * 3
+        pairs = rows([(k, v, 1) for k in "ab" for v in set(vals)] + [("c", 5, 10), ("c", None, 3), ("d", None, 1)], f"key string, value {kind}, w long")
+        got = {x.key: (x.p1, x.p50, x.p100) for x in hotkeys.key_percentiles(pairs, (0.01, 0.5, 1.0)).collect()}
+        want = sorted(set(vals))
+        at = lambda p: want[-(-len(want) * p // 100) - 1]
+        assert got == {"a": (at(1), at(50), at(100)), "b": (at(1), at(50), at(100)), "c": (5, 5, 5)}
+
+
 def test_empty(rows):
     assert hotkeys.hot_keys(rows([], GTP)).count() == 0
     assert hotkeys.tag_profile(rows([], GTP)).count() == 0
     assert hotkeys.line_profile(rows([], GTP)).count() == 0
+
+
+def test_written_tables_are_released(spark):
+    from loomdex import common
+
+    t = common.written(spark.range(3), "three")
+    assert t.count() == 3 and common.release(spark) > 0 and common.release(spark) == 0
+    assert spark.read.option("ignoreMissingFiles", "true").schema("id long").parquet(common.shared_dir(spark)).count() == 0

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from loomdex.functions.paths import normal_path
 
@@ -158,51 +156,57 @@ def include_name(image: Column) -> Column:
     return F.when(target != "", base_name(target)).when(php != "", base_name(php))
 
 
-@F.pandas_udf(StringType())
-def detab(texts: pd.Series) -> pd.Series:
-    """Tabs as blanks up to the next multiple of eight columns."""
-    return texts.map(lambda x: None if x is None else x.expandtabs(8))
+def detab(text: Column | str) -> Column:
+    """Tabs of a line as blanks up to the next multiple of eight columns."""
+    line = F.col(text) if isinstance(text, str) else text
 
+    def step(acc: Column, part: Column) -> Column:
+        return let(F.concat(acc, part), lambda x: F.rpad(x, ((F.floor(F.length(x) / 8) + 1) * 8).cast("int"), F.lit(" ")))
 
-#: Words that line images are shortened by, with the letter that stands for each (fixed values).
-SHORT = {"d": "define", "t": "typedef"}
-
-
-def compress_image(image: str, tag: str) -> str:
-    """A line image in the index's short form: @n for the tag, @d and @t for ``define`` and ``typedef``, @ and a digit
-    (or a number in braces) for a run of blanks, @@ for an at sign."""
-    import re
-
-    known = {tag: "n", **{v: k for k, v in SHORT.items()}} if tag else {v: k for k, v in SHORT.items()}
-    words = "|".join(rf"(?<!\w){re.escape(w)}(?!\w)" for w in known)
-
-    def put(m: re.Match) -> str:
-        x = m[0]
-        if x == "@":
-            return "@@"
-        if x.isspace():
-            return f"@{len(x)}" if len(x) < 10 else f"@{{{len(x)}}}"
-        return "@" + known[x]
+    def whole(parts: Column) -> Column:
+        return F.concat(F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), F.lit(""), step), F.element_at(parts, -1))
 
-    return re.sub(rf"@| {{2,}}|{words}", put, image)
+    return F.when(line.contains("\t"), let(F.split(line, "\t", -1), whole)).otherwise(line)
 
 
-def uncompress_image(text: str, tag: str) -> str:
-    """The inverse of compress_image."""
-    import re
-
-    def put(m: re.Match) -> str:
-        x = m[1]
-        return "@" if x == "@" else tag if x == "n" else SHORT[x] if x in SHORT else " " * int(x.strip("{}"))
-
-    return re.sub(r"@(@|n|d|t|\d|\{\d+\})", put, text)
-
-
-@F.pandas_udf(StringType())
-def short_image(images: pd.Series, tags: pd.Series) -> pd.Series:
-    return pd.Series([None if i is None or t is None else compress_image(i, t) for i, t in zip(images, tags, strict=True)], dtype=object)
+#: Words that line images are shortened by, with the letter that stands for each (fixed values).
+SHORT = {"d": "define", "t": "typedef"}
+_NAME = r"[A-Za-z0-9_\u0080-\x{10FFFF}]"
 
 
-@F.pandas_udf(StringType())
-def long_image(images: pd.Series, tags: pd.Series) -> pd.Series:
-    return pd.Series([None if i is None or t is None else uncompress_image(i, t) for i, t in zip(images, tags, strict=True)], dtype=object)
+def short_image(image: Column | str, tag: Column | str) -> Column:
+    """A line image in the index's short form: @n for the tag, @d and @t for ``define`` and ``typedef``, @ and a digit
+    (or a number in braces) for a run of blanks, @@ for an at sign. Null where either is null."""
+    image, tag = (F.col(x) if isinstance(x, str) else x for x in (image, tag))
+    out = F.replace(image, F.lit("@"), F.lit("@@"))
+    own = F.concat(F.lit(rf"(?<!{_NAME})\Q"), F.replace(tag, F.lit("@"), F.lit("@@")), F.lit(rf"\E(?!{_NAME})"))
+    out = F.when(tag == "", out).otherwise(F.regexp_replace(out, own, F.lit("@n")))
+    for letter, word in SHORT.items():
+        out = F.regexp_replace(out, rf"(?<!{_NAME}){word}(?!{_NAME})", f"@{letter}")
+    pieces = F.regexp_extract_all(out, F.lit(" {2,}| |[^ ]+"), F.lit(0))
+    size = lambda x: F.length(x).cast("string")
+    blanks = lambda x: F.when(F.length(x) < 10, F.concat(F.lit("@"), size(x))).otherwise(F.concat(F.lit("@{"), size(x), F.lit("}")))
+    return F.array_join(F.transform(pieces, lambda x: F.when(x.startswith("  "), blanks(x)).otherwise(x)), "")
+
+
+def long_image(image: Column | str, tag: Column | str) -> Column:
+    """The inverse of short_image."""
+    image, tag = (F.col(x) if isinstance(x, str) else x for x in (image, tag))
+    pieces = F.regexp_extract_all(image, F.lit(r"@@|@[ndt]|@[0-9]|@\{[0-9]+\}|[^@]+|@"), F.lit(0))
+
+    def one(x: Column) -> Column:
+        out = F.when(x == "@@", "@").when(x == "@n", tag)
+        for letter, word in SHORT.items():
+            out = out.when(x == f"@{letter}", word)
+        run = F.regexp_extract(x, r"^@\{?([0-9]+)\}?$", 1)
+        return out.when(run != "", F.repeat(F.lit(" "), run.cast("int"))).otherwise(x)
+
+    return F.when(tag.isNotNull(), F.array_join(F.transform(pieces, one), ""))
+
+
+def styled(path: Column, root: str, base: str, style: str) -> Column:
+    """A path ``./x`` of the project at ``root`` as output shows it: ``through`` as it is, ``absolute``, ``relative`` to the directory
+    ``base``, or ``shorter``, whichever of the last two has fewer characters (relative if they have as many)."""
+    full = F.concat(F.lit(root.rstrip("/")), F.substring(path, 2, 1 << 30))
+    near = relative(full, F.lit(base))
+    return {"through": path, "absolute": full, "relative": near, "shorter": F.when(F.length(near) > F.length(full), full).otherwise(near)}[style]

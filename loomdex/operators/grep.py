@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,13 +12,21 @@ from loomdex.functions.text import SYMBOL
 from loomdex.operators.patterns import is_plain, java_regex
 
 
+LOWER = str.maketrans(ascii_uppercase, ascii_lowercase)
+
+
+def ascii_lower(text: Column) -> Column:
+    """The text with A to Z as small letters; other characters stay."""
+    return F.translate(text, ascii_uppercase, ascii_lowercase)
+
+
 def line_matches(image: Column, pattern: str, literal: bool = False, icase: bool = False, basic: bool = False) -> Column:
     """Whether a line holds the pattern. Literal patterns, and those of letters, digits and blanks only, are looked for as
     they are, a line end parting alternatives and icase meaning ASCII letters; an empty pattern matches nothing."""
     if not pattern:
         return F.lit(False)
     if literal or is_plain(pattern):
-        one = lambda p: F.lower(image).contains(p.lower()) if icase and p.isascii() else image.contains(p)
+        one = lambda p: ascii_lower(image).contains(p.translate(LOWER)) if icase else image.contains(p)
         return reduce(lambda a, b: a | b, [one(p) for p in pattern.split("\n") if p], F.lit(False))
     return image.rlike(java_regex(pattern, basic, icase))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomdex.common import numbered
+
 
 def change_set(known: DataFrame, listing: DataFrame, as_of: str) -> DataFrame:
     """(path, action): add for listed paths that aren't known, modify for known ones changed after ``as_of``, delete
@@ -19,13 +21,8 @@ def change_set(known: DataFrame, listing: DataFrame, as_of: str) -> DataFrame:
 
 
 def allocate(new: DataFrame, last: int | None) -> DataFrame:
-    """(path, fid): ids after the last one ever given, in the order of paths. Paths are ranked inside the first four
-    characters after the root, which are counted beforehand, so no task orders all of them."""
-    bucket = F.substring("path", 1, 6)
-    sizes = new.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    ahead = sizes.withColumn("ahead", F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))  # one row for each beginning of a path
-    out = new.withColumn("bucket", bucket).join(ahead, "bucket")
-    return out.select("path", (F.row_number().over(Window.partitionBy("bucket").orderBy("path")) + F.col("ahead") + (last or 0)).cast("long").alias("fid"))
+    """(path, fid): ids after the last one ever given, in the order of paths, which are numbered by ranges."""
+    return numbered(new.select("path"), "path").select("path", (F.col("number") + 1 + (last or 0)).alias("fid"))
 
 
 def apply_changes(known: DataFrame, changes: DataFrame, last: int | None) -> DataFrame:

@@ -120,14 +120,20 @@ class Access:
         if self.mode == "scan":
             return key.isNotNull()
         if self.mode == "exact":
-            return col == text
+            return self._either(key, text) & (col == text)
         if self.mode == "prefix":
-            return col.startswith(text)
+            return self._either(key, text) & col.startswith(text)
         hit = key.rlike(self.text)
         if self.prefix:
-            hit = col.startswith(self.prefix.lower() if self.icase else self.prefix) & hit
+            hit = self._either(key, self.prefix) & col.startswith(self.prefix.lower() if self.icase else self.prefix) & hit
         return hit
 
+    def _either(self, key: Column, text: str) -> Column:
+        """Where case doesn't matter, the two beginnings a key may have, which reach the files; no lower-case key does."""
+        if not self.icase or not text[:1].isascii() or not text[:1].isalpha() or text[0].lower() in "ks":
+            return F.lit(True)  # k and s are also what other letters become
+        return key.startswith(text[0].lower()) | key.startswith(text[0].upper())
+
 
 def access(pattern: str | None, literal: bool = False, icase: bool = False, basic: bool = False) -> Access:
     """The lookup for a pattern: null scans, an empty one has no rows."""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomdex.common import numbered
 from loomdex.functions.paths import normal_path
-from loomdex.functions.text import base_name, encode_lines, include_name
+from loomdex.functions.text import anchor_kind, base_name, encode_lines, include_name
 
 
 def duplicates(defs: DataFrame) -> DataFrame:
@@ -36,25 +37,39 @@ def directories(files: DataFrame) -> DataFrame:
 
 
 def directory_ids(files: DataFrame) -> DataFrame:
-    """Directories with ids after the files' greatest, in the order of their names (ranked inside first letters)."""
-    dirs = directories(files).select("directory")
+    """Directories with ids after the files' greatest, in the order of their names."""
     top = files.agg(F.max("fid").alias("top"))
-    bucket = F.substring("directory", 1, 4)
-    sizes = dirs.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    ahead = sizes.withColumn("ahead", F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))  # one row for each beginning of a name
-    out = dirs.withColumn("bucket", bucket).join(ahead, "bucket").withColumn("n", F.row_number().over(Window.partitionBy("bucket").orderBy("directory")) + F.col("ahead"))
-    return out.select("directory", (F.col("n") + top.scalar()).alias("fid"))
+    return numbered(directories(files).select("directory"), "directory").select("directory", (F.col("number") + 1 + top.scalar()).alias("fid"))
+
+
+def duplicate_entries(defs: DataFrame) -> DataFrame:
+    """The pages of tags with several entries: every entry (tag, path, lineno, image)."""
+    many = defs.groupBy("tag").agg(F.count("*").alias("n")).filter("n > 1").select("tag")
+    return defs.join(many, "tag", "left_semi").select("tag", "path", "lineno", "image")
 
 
 #: Suffixes of files that others include (fixed values).
 INCLUDED = [".h", ".hh", ".hxx", ".hpp", ".H", ".inc.php"]
 
 
+def _candidates(files: DataFrame) -> DataFrame:
+    names = files.select("path").distinct().filter(F.col("path").rlike("(" + "|".join(x.replace(".", r"\.") for x in INCLUDED) + ")$"))
+    return names.select(base_name(F.col("path")).alias("name"), F.col("path").alias("target"))
+
+
 def includes(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """(path, lineno, name, target): each include line with every file of that name that may be included; null if none."""
+    """(path, lineno, name, candidates, target): each include line with how many files of that name may be included, and that file
+    where it is one; where there are several, ``include_targets`` lists them once. So a name of many files that many
+    lines include takes as many rows as it has lines."""
     edges = lines.withColumn("name", include_name(F.col("image"))).filter("name IS NOT NULL").select("path", "lineno", "name").distinct()
-    names = files.select("path").distinct().filter(F.col("path").rlike("(" + "|".join(x.replace(".", r"\.") for x in INCLUDED) + ")$")).select(base_name(F.col("path")).alias("name"), F.col("path").alias("target"))
-    return edges.join(names, "name", "left").select("path", "lineno", "name", "target")
+    what = _candidates(files).groupBy("name").agg(F.count("*").alias("candidates"), F.min("target").alias("target"))
+    return edges.join(what, "name", "left").select("path", "lineno", "name", F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"), F.when(F.col("candidates") == 1, F.col("target")).alias("target"))
+
+
+def include_targets(files: DataFrame) -> DataFrame:
+    """(name, target): the files that a name of several may mean."""
+    c = _candidates(files)
+    return c.join(c.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name"), "name", "left_semi")
 
 
 def include_counts(lines: DataFrame, files: DataFrame) -> DataFrame:
@@ -65,15 +80,21 @@ def include_counts(lines: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def navigation(defs: DataFrame) -> DataFrame:
-    """For each line of a file with a definition: the definition line before and after, and the first and last of the file
-    where that is another line."""
-    d = defs.select("path", "lineno").distinct()
+    """For each line that defines a function: the line of the function before and after, and of the first and last of the file
+    where that is another line. Macros and types are no stops."""
+    d = defs.filter(anchor_kind(F.lit(1), F.col("tag"), F.col("image")) == "D").select("path", "lineno").distinct()
     w = Window.partitionBy("path").orderBy("lineno")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     other = lambda c: F.when(c != F.col("lineno"), c)
     return d.select("path", "lineno", F.lag("lineno").over(w).alias("previous"), F.lead("lineno").over(w).alias("next"), other(F.first("lineno").over(whole)).alias("first"), other(F.last("lineno").over(whole)).alias("last"))
 
 
+def anchors(defs: DataFrame, refs: DataFrame, syms: DataFrame) -> DataFrame:
+    """(path, lineno, tag, kind) of every definition (D a function, M a macro, T a type), reference (R) and other symbol (Y)."""
+    of = lambda d, kind: d.select("path", "lineno", "tag", kind.alias("kind"))
+    return of(defs, anchor_kind(F.lit(1), F.col("tag"), F.col("image"))).unionByName(of(refs, F.lit("R"))).unionByName(of(syms, F.lit("Y")))
+
+
 def enclosing(refs: DataFrame, defs: DataFrame) -> DataFrame:
     """For each reference the last definition at or above its line in the same file (an as-of join): definitions and
     references of a file are put in one order and the last definition seen is carried on. Several on a line: the
@@ -90,10 +111,15 @@ def line_lists(refs: DataFrame) -> DataFrame:
     return refs.groupBy("path", "tag").agg(F.sort_array(F.collect_set("lineno")).alias("linenos")).select("path", "tag", F.size("linenos").cast("long").alias("n"), encode_lines(F.col("linenos")).alias("coded"))
 
 
-def linked(refs: DataFrame, dup: DataFrame) -> DataFrame:
-    """Each reference with where its link goes: to the one definition, or to the list of several."""
-    to = F.when(F.col("entries") == 1, F.concat_ws("#L", "first_path", F.col("first_lineno").cast("string"))).otherwise(F.concat(F.lit("list/"), F.col("tag")))
-    return refs.join(dup, "tag").select("tag", "path", "lineno", to.alias("link"))
+def linked(anchors: DataFrame, defs: DataFrame, refs: DataFrame, syms: DataFrame) -> DataFrame:
+    """Each anchor (tag, path, lineno, kind) with where its link goes: from references to definitions, from definitions to
+    references, from other symbols to symbols. One entry is linked itself, several by their list; a symbol's only entry
+    is the anchor itself, so that has no link, nor has an anchor without entries."""
+    dup = lambda d, name: duplicates(d).withColumn("list", F.lit(name))
+    entries = dup(defs, "definitions").unionByName(dup(refs, "references")).unionByName(dup(syms, "symbols"))
+    to = F.when(F.col("entries") > 1, F.concat_ws("/", "list", "tag")).when((F.col("entries") == 1) & (F.col("list") != "symbols"), F.concat_ws("#L", "first_path", F.col("first_lineno").cast("string")))
+    asks = F.when(F.col("kind") == "R", "definitions").when(F.col("kind") == "Y", "symbols").otherwise("references")
+    return anchors.withColumn("list", asks).join(entries, ["list", "tag"], "left").select("tag", "path", "lineno", "kind", to.alias("link"))
 
 
 #: What a line of a printed call tree may be: indented name, then its place or a line or nothing between angle brackets.

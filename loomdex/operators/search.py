@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomdex.common import numbered
 from loomdex.functions.text import let
 from loomdex.operators.patterns import access
 
@@ -31,26 +32,30 @@ def everything(defs: DataFrame, refs: DataFrame, pattern: str | None, **kw: obje
     return search(defs, pattern, **kw).select(*cols).unionByName(search(refs, pattern, **kw).select(*cols))
 
 
-def complete(rel: DataFrame, prefix: str, icase: bool = False) -> DataFrame:
-    """Distinct keys that begin with the prefix."""
+def complete(rel: DataFrame, prefix: str, icase: bool = False, libraries: list[str] | None = None, through: bool = False) -> DataFrame:
+    """Distinct keys that begin with the prefix; with ``libraries`` those of the first project that has any (or of all)."""
     key = F.lower("key") if icase else F.col("key")
-    return rel.filter(key.startswith(prefix.lower() if icase else prefix)).select("key").distinct()
+    hits = rel.filter(key.startswith(prefix.lower() if icase else prefix))
+    return (_first(hits, libraries, through) if libraries else hits).select("key").distinct()
+
+
+def _first(hits: DataFrame, libraries: list[str], through: bool) -> DataFrame:
+    hits = hits.filter(F.col("repo").isin(libraries)).withColumn("lib_rank", F.array_position(F.lit(libraries), F.col("repo")))
+    return hits if through else hits.filter(F.col("lib_rank") == hits.agg(F.min("lib_rank")).scalar())
 
 
 def first_library(rel: DataFrame, libraries: list[str], pattern: str | None, through: bool = False) -> DataFrame:
-    """Hits in the libraries (column repo), in their order: of the first that has any, or of all with ``through``."""
-    rank = F.array_position(F.lit(libraries), F.col("repo"))
-    hits = search(rel, pattern).filter(F.col("repo").isin(libraries)).withColumn("lib_rank", rank)
-    if through:
-        return hits
-    return hits.join(hits.groupBy("key").agg(F.min("lib_rank").alias("lib_rank")), ["key", "lib_rank"], "left_semi")
+    """Hits in the projects (column repo), the own one first and then the libraries in their order: all hits of the first
+    project that has any, or with ``through`` of all. The whole search ends at that project, whatever keys it has."""
+    return _first(search(rel, pattern), libraries, through)
 
 
-def resolve_context(contexts: DataFrame, defs: DataFrame) -> DataFrame:
+def resolve_context(contexts: DataFrame, defs: DataFrame, libraries: DataFrame | None = None) -> DataFrame:
     """What each context (key, path, lineno) asks for: references if it is a definition of its key, definitions if
-    the key is defined elsewhere, else other symbols."""
+    the key is defined elsewhere or in one of the libraries (their definitions), else other symbols."""
     at = defs.select("key", "path", F.col("lineno")).distinct().withColumn("here", F.lit(True))
-    known = defs.select("key").distinct().withColumn("known", F.lit(True))
+    keys = defs.select("key") if libraries is None else defs.select("key").unionByName(libraries.select("key"))
+    known = keys.distinct().withColumn("known", F.lit(True))
     out = contexts.join(at, ["key", "path", "lineno"], "left").join(known, "key", "left")
     return out.select("key", "path", "lineno", F.when(F.col("here"), "references").when(F.col("known"), "definitions").otherwise("symbols").alias("target"))
 
@@ -77,9 +82,5 @@ def file_tags(defs: DataFrame, path: str) -> DataFrame:
 
 
 def number_groups(rel: DataFrame) -> DataFrame:
-    """Each distinct tag with its number in sorted order. Tags are counted by range first, so no task sorts them all."""
-    tags = rel.select("tag").distinct()
-    bucket = F.substring(F.concat(F.col("tag"), F.lit("   ")), 1, 2)
-    sizes = tags.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    ahead = sizes.withColumn("ahead", F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))  # one row for each pair of first letters
-    return tags.withColumn("bucket", bucket).join(ahead, "bucket").withColumn("number", (F.row_number().over(Window.partitionBy("bucket").orderBy("tag")) + F.col("ahead")).cast("long")).select("tag", "number")
+    """Each distinct tag with its number in sorted order, from 1."""
+    return numbered(rel.select("tag").distinct(), "tag").select("tag", (F.col("number") + 1).alias("number"))

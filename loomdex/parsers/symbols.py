@@ -67,7 +67,8 @@ def _close(t: list[Token], i: int, a: str, b: str) -> int:
 class _CLike:
     """C and C++ in one pass over the tokens; the stack of open braces tells what may be defined where."""
 
-    def __init__(self, text: str, words: set[str], cpp: bool, flags: int = 0) -> None:
+    def __init__(self, text: str, words: set[str], cpp: bool, flags: int = 0, notfunctions: frozenset[str] = frozenset()) -> None:
+        self.notfunctions = notfunctions
         self.t, self.words, self.cpp, self.out = list(_tokens(text, _C)), words, cpp, []
         self.begins, self.ends = set(), set()  # braces in column 0 that force the level
         if flags & (BEGIN_BLOCK | END_BLOCK):
@@ -172,7 +173,7 @@ class _CLike:
     def function(self, i: int, stack: list) -> bool:
         """Whether the name at i is that of a function whose body follows."""
         t, n = self.t, len(self.t)
-        if i + 1 >= n or t[i + 1][1] != "(":
+        if i + 1 >= n or t[i + 1][1] != "(" or t[i][1] in self.notfunctions:
             return False
         if self.cpp and (stack and stack[-1] == ("class", t[i][1]) or i and t[i - 1][1] == "~" or i > 1 and t[i - 1][1] == "::" and t[i - 2][1] == t[i][1]):
             return False  # constructors and destructors
@@ -234,15 +235,15 @@ class _CLike:
         return names
 
 
-def parse_c(text: str, flags: int = 0) -> list[Event]:
+def parse_c(text: str, flags: int = 0, notfunctions: frozenset[str] = frozenset()) -> list[Event]:
     """Functions, macros (also where they are undefined), tags of structures, unions and enumerations with a body,
     enumerators and typedef names are definitions. Members are not."""
-    return _CLike(text, C_WORDS, False, flags).run()
+    return _CLike(text, C_WORDS, False, flags, notfunctions).run()
 
 
-def parse_cpp(text: str, flags: int = 0) -> list[Event]:
+def parse_cpp(text: str, flags: int = 0, notfunctions: frozenset[str] = frozenset()) -> list[Event]:
     """As C, with classes, namespaces, aliases and methods with a body; constructors and destructors are no definitions."""
-    return _CLike(text, CPP_WORDS, True, flags).run()
+    return _CLike(text, CPP_WORDS, True, flags, notfunctions).run()
 
 
 def parse_java(text: str) -> list[Event]:
@@ -319,11 +320,11 @@ def register(lang: str, parser: Callable[[str], list[Event]]) -> None:
 FLAGGED = {parse_c, parse_cpp}
 
 
-def parse(lang: str | None, text: str, flags: int | None = 0) -> list[tuple[int, str, int, str]]:
-    """(kind, tag, lineno, image) of a text; languages without a parser have none. Tags of 512 bytes and more are dropped."""
+def parse(lang: str | None, text: str, flags: int | None = 0, notfunctions: frozenset[str] = frozenset()) -> list[tuple[int, str, int, str]]:
+    """(kind, tag, lineno, image) of a text; names in ``notfunctions`` define no function in C, C++ and yacc; languages without a parser have none. Tags of 512 bytes and more are dropped."""
     if lang not in PARSERS or not text:
         return []
     lines = text.replace("\r\n", "\n").split("\n")
     run = PARSERS[lang]
-    events = run("\n".join(lines), flags or 0) if run in FLAGGED else run("\n".join(lines))
+    events = run("\n".join(lines), flags or 0, notfunctions) if run in FLAGGED else run("\n".join(lines))
     return [(k, tag, n, lines[n - 1]) for k, tag, n in events if 0 < len(tag.encode()) < 512]

@@ -70,10 +70,13 @@ query("complete_icase", "SELECT DISTINCT key FROM defs WHERE starts_with(lower(k
 query("limit_first_n", "SELECT DISTINCT key FROM defs WHERE starts_with(key, 'read_') ORDER BY key LIMIT 20")(lambda s, d: search.complete(table(s, d, "defs"), "read_").orderBy("key").limit(20))
 LIBS = ["ostrava-db", "tarnbrook", "varnhold"]
 _LIB = f"WITH {D_}, h AS (SELECT *, CAST(list_position({LIBS}, repo) AS BIGINT) AS lib_rank FROM d WHERE regexp_matches(key, '^(base|sys|util)_') AND repo IN {tuple(LIBS)})"
-query("library_first", _LIB + " SELECT key, tag, path, lineno, lib_rank FROM h WHERE lib_rank = (SELECT min(lib_rank) FROM h AS b WHERE b.key = h.key)")(lambda s, d: search.first_library(index.definitions(s, d), LIBS, "^(base|sys|util)_").select("key", "tag", "path", "lineno", "lib_rank"))
+query("library_first", _LIB + " SELECT key, tag, path, lineno, lib_rank FROM h WHERE lib_rank = (SELECT min(lib_rank) FROM h)")(lambda s, d: search.first_library(index.definitions(s, d), LIBS, "^(base|sys|util)_").select("key", "tag", "path", "lineno", "lib_rank"))
 query("library_through", _LIB + " SELECT key, tag, path, lineno, lib_rank FROM h")(lambda s, d: search.first_library(index.definitions(s, d), LIBS, "^(base|sys|util)_", through=True).select("key", "tag", "path", "lineno", "lib_rank"))
 
 
+query("complete_library", f"WITH {D_}, h AS (SELECT *, list_position({LIBS}, repo) AS r FROM d WHERE starts_with(key, 'read_') AND repo IN {tuple(LIBS)}) SELECT DISTINCT key FROM h WHERE r = (SELECT min(r) FROM h)")(lambda s, d: search.complete(index.definitions(s, d), "read_", libraries=LIBS))
+
+
 def _contexts(s: SparkSession, d: str) -> DataFrame:
     g = table(s, d, "gtp").filter(is_tag(F.col("tag")) & F.col("path").isNotNull() & F.col("lineno").isNotNull())
     return g.select(text.method_key(F.col("tag")).alias("key"), F.concat(F.lit("./"), normal_path(F.col("path"))).alias("path"), "lineno").distinct()
@@ -85,6 +88,12 @@ query(
     SELECT c.*, CASE WHEN EXISTS (SELECT 1 FROM d WHERE d.key = c.key AND d.path = c.path AND d.lineno = c.lineno) THEN 'references'
         WHEN EXISTS (SELECT 1 FROM d WHERE d.key = c.key) THEN 'definitions' ELSE 'symbols' END AS target FROM c""",
 )(lambda s, d: search.resolve_context(_contexts(s, d), index.definitions(s, d)))
+query(
+    "context_library",
+    f"""WITH {D_}, c AS (SELECT DISTINCT {KEY} AS key, './' || {sql_norm('path')} AS path, lineno FROM gtp WHERE {sql_tag('tag')} AND path IS NOT NULL AND lineno IS NOT NULL)
+    SELECT c.*, CASE WHEN EXISTS (SELECT 1 FROM d WHERE repo = 'tarnbrook' AND d.key = c.key AND d.path = c.path AND d.lineno = c.lineno) THEN 'references'
+        WHEN EXISTS (SELECT 1 FROM d WHERE repo IN ('tarnbrook', 'varnhold') AND d.key = c.key) THEN 'definitions' ELSE 'symbols' END AS target FROM c WHERE starts_with(path, './tarnbrook/')""",
+)(lambda s, d: (lambda x: search.resolve_context(_contexts(s, d).filter(F.col("path").startswith("./tarnbrook/")), x.filter("repo = 'tarnbrook'"), x.filter("repo = 'varnhold'")))(index.definitions(s, d)))
 BASE = "./tarnbrook/path/"
 query(
     "near_sort",
@@ -172,7 +181,11 @@ query("detab", f"WITH {L_} SELECT param_id, lineno, replace(image, chr(9), '
 query("image_codec", f"WITH {D_} SELECT tag, lineno, path, image FROM d WHERE image IS NOT NULL AND tag IS NOT NULL")(
     lambda s, d: index.definitions(s, d).filter("image IS NOT NULL AND tag IS NOT NULL").select("tag", "lineno", "path", text.long_image(text.short_image("image", "tag"), "tag").alias("image"))
 )
-query("split_fields", f"WITH {L_} SELECT param_id, lineno, list_transform(regexp_split_to_array(ltrim(image, ' '), '[ \t]+'), lambda x: x)[1] AS first FROM l WHERE NOT contains(image, chr(9))")(lambda s, d: index.lines(s, d).filter(~F.col("image").contains("\t")).select("param_id", "lineno", text.split_fields(F.col("image"), 3)[0].alias("first")))
+query(
+    "split_fields",
+    rf"""WITH {L_}, t AS (SELECT param_id, lineno, ltrim(image, ' ') AS x FROM l) SELECT param_id, lineno, CASE WHEN regexp_matches(x, '^[^ \t]*[ \t]+[^ \t]+[ \t]') THEN regexp_replace(x, '^([^ \t]*)[ \t]+([^ \t]+)[ \t]+(.*)$', '\1|\2|\3', 's')
+    WHEN regexp_matches(x, '[ \t]') THEN regexp_replace(x, '^([^ \t]*)[ \t]+(.*)$', '\1|\2', 's') ELSE x END AS fields FROM t""",
+)(lambda s, d: index.lines(s, d).select("param_id", "lineno", F.array_join(text.split_fields(F.col("image"), 3), "|").alias("fields")))
 
 # --- reports ---
 _DUP = "SELECT tag, count(*) AS entries, (min({'path': path, 'lineno': lineno})).path AS first_path, (min({'path': path, 'lineno': lineno})).lineno AS first_lineno FROM d GROUP BY tag"
@@ -180,6 +193,8 @@ query("dup_index", f"WITH {D_} {_DUP}")(lambda s, d: reports.duplicates(index.de
 query("dup_number", "SELECT tag, dense_rank() OVER (ORDER BY tag) AS number FROM (SELECT DISTINCT tag FROM defs)")(lambda s, d: search.number_groups(table(s, d, "defs")))
 query("def_index", f"WITH {D_}, u AS ({_DUP}) SELECT tag, CASE WHEN entries = 1 THEN 'Defined at ' || first_lineno || ' in ' || first_path || '.' ELSE 'Multiple defined in ' || entries || ' places.' END AS title FROM u")(lambda s, d: reports.tooltip(reports.duplicates(index.definitions(s, d))))
 query("alpha_index", "SELECT CASE WHEN regexp_matches(tag[1], '^[A-Za-z_]$') OR unicode(tag[1]) > 127 THEN tag[1] ELSE CAST(unicode(tag[1]) AS VARCHAR) END AS bucket, count(*) AS tags FROM (SELECT DISTINCT tag FROM defs) GROUP BY 1")(lambda s, d: reports.alphabet(table(s, d, "defs")))
+query("dup_entries", f"WITH {D_} SELECT tag, path, lineno, image FROM d WHERE tag IN (SELECT tag FROM d GROUP BY tag HAVING count(*) > 1)")(lambda s, d: reports.duplicate_entries(index.definitions(s, d)))
+query("key_count", "SELECT count(DISTINCT key) AS keys, count(*) AS entries FROM defs")(lambda s, d: table(s, d, "defs").agg(F.countDistinct("key").alias("keys"), F.count("*").alias("entries")))
 _DIRS = f"WITH {F_}, p AS (SELECT DISTINCT path, string_split(path, '/') AS a FROM f), e AS (SELECT array_to_string(a[1:i], '/') AS directory FROM (SELECT a, unnest(range(1, len(a))) AS i FROM p)) "
 query("dir_rollup", _DIRS + "SELECT directory, count(*) AS files FROM e GROUP BY 1")(lambda s, d: reports.directories(index.files(s, d)))
 query("dir_ids", _DIRS + "SELECT directory, row_number() OVER (ORDER BY directory) + (SELECT max(fid) FROM files) AS fid FROM (SELECT DISTINCT directory FROM e)")(lambda s, d: reports.directory_ids(index.files(s, d)))
@@ -187,11 +202,21 @@ _INC = rf"""{L_}, i AS (SELECT DISTINCT path, lineno, string_split(coalesce(null
     nullif(regexp_extract(image, '^[ \t]*(include|include_once|require|require_once)\b[ \t(]*[''"]([^''"]+)[''"]', 2), '')), '/')[-1] AS name FROM l),
 n AS (SELECT path, lineno, name FROM i WHERE name IS NOT NULL),
 c AS (SELECT DISTINCT path AS target, string_split(path, '/')[-1] AS name FROM files WHERE regexp_matches(path, '(\.h|\.hh|\.hxx|\.hpp|\.H|\.inc\.php)$'))"""
-query("include_edges", f"WITH {_INC} SELECT n.path, lineno, n.name, target FROM n LEFT JOIN c ON n.name = c.name")(lambda s, d: reports.includes(index.lines(s, d), index.files(s, d)))
+_K = "k AS (SELECT name, count(*) AS k, min(target) AS target FROM c GROUP BY name)"
+query("include_edges", f"WITH {_INC}, {_K} SELECT n.path, lineno, n.name, coalesce(k, 0) AS candidates, CASE WHEN k = 1 THEN target END AS target FROM n LEFT JOIN k ON n.name = k.name")(lambda s, d: reports.includes(index.lines(s, d), index.files(s, d)))
 query("include_counts", f"WITH {_INC} SELECT w.name, coalesce(k, 0) AS candidates, includers FROM (SELECT name, count(*) AS includers FROM n GROUP BY 1) w LEFT JOIN (SELECT name, count(*) AS k FROM c GROUP BY 1) t ON w.name = t.name")(lambda s, d: reports.include_counts(index.lines(s, d), index.files(s, d)))
+KIND = r"CASE WHEN starts_with(ltrim(image, ' '), '#') THEN 'M' WHEN regexp_matches(ltrim(image, ' '), '^typedef\b') THEN 'T' WHEN contains(regexp_replace(image, '[ \t]+\(', '(', 'g'), tag || '(') THEN 'D' ELSE 'T' END"
+ANCHORS_ = f"an AS (SELECT path, lineno, tag, {KIND} AS kind FROM d UNION ALL SELECT path, lineno, tag, CASE WHEN EXISTS (SELECT 1 FROM defs WHERE defs.key = r.key) THEN 'R' ELSE 'Y' END FROM r)"
+
+
+def _anchors(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    r, f = index.references(s, d), table(s, d, "defs")
+    return index.definitions(s, d), search.resolved(r, f), search.unresolved(r, f)
+
+
 query(
     "anchor_nav",
-    f"""WITH {D_}, x AS (SELECT DISTINCT path, lineno FROM d), y AS (SELECT path, lineno, lag(lineno) OVER w AS previous, lead(lineno) OVER w AS next, min(lineno) OVER (PARTITION BY path) AS a, max(lineno) OVER (PARTITION BY path) AS z FROM x WINDOW w AS (PARTITION BY path ORDER BY lineno))
+    f"""WITH {D_}, x AS (SELECT DISTINCT path, lineno FROM d WHERE {KIND} = 'D'), y AS (SELECT path, lineno, lag(lineno) OVER w AS previous, lead(lineno) OVER w AS next, min(lineno) OVER (PARTITION BY path) AS a, max(lineno) OVER (PARTITION BY path) AS z FROM x WINDOW w AS (PARTITION BY path ORDER BY lineno))
     SELECT path, lineno, previous, next, nullif(a, lineno) AS first, nullif(z, lineno) AS last FROM y""",
 )(lambda s, d: reports.navigation(index.definitions(s, d)))
 query(
@@ -203,19 +228,14 @@ query(
     "anchor_kind",
     r"SELECT tag, lineno, image, CASE WHEN starts_with(ltrim(image, ' '), '#') THEN 'M' WHEN regexp_matches(ltrim(image, ' '), '^typedef\b') THEN 'T' WHEN contains(regexp_replace(image, '[ \t]+\(', '(', 'g'), tag || '(') THEN 'D' ELSE 'T' END AS kind FROM defs WHERE image IS NOT NULL",
 )(lambda s, d: table(s, d, "defs").filter("image IS NOT NULL").select("tag", "lineno", "image", text.anchor_kind(F.lit(1), F.col("tag"), F.col("image")).alias("kind")))
-query("anchor_links", f"WITH {D_}, {R_}, u AS ({_DUP}) SELECT tag, path, lineno, CASE WHEN entries = 1 THEN first_path || '#L' || first_lineno ELSE 'list/' || tag END AS link FROM r JOIN u USING (tag)")(lambda s, d: reports.linked(index.references(s, d), reports.duplicates(index.definitions(s, d))))
 query(
-    "anchor_stream",
-    f"WITH {D_}, {R_} SELECT path, lineno, tag, 'D' AS kind FROM d UNION ALL SELECT path, lineno, tag, CASE WHEN EXISTS (SELECT 1 FROM defs WHERE defs.key = r.key) THEN 'R' ELSE 'Y' END FROM r",
-)(
-    lambda s, d: (lambda r, f: index.definitions(s, d).select("path", "lineno", "tag", F.lit("D").alias("kind")).unionByName(search.resolved(r, f).select("path", "lineno", "tag", F.lit("R").alias("kind"))).unionByName(search.unresolved(r, f).select("path", "lineno", "tag", F.lit("Y").alias("kind"))))(index.references(s, d), table(s, d, "defs"))
-)
-query(
-    "line_clusters",
-    f"WITH {D_}, {R_}, x AS (SELECT path, lineno, 'D' AS kind FROM d UNION ALL SELECT path, lineno, 'R' FROM r) SELECT path, lineno, count(*) AS anchors, max(kind = 'D') AS defines FROM x GROUP BY ALL",
-)(
-    lambda s, d: reports.line_clusters(index.definitions(s, d).select("path", "lineno", F.lit("D").alias("kind")).unionByName(index.references(s, d).select("path", "lineno", F.lit("R").alias("kind"))))
-)
+    "anchor_links",
+    f"""WITH {D_}, {R_}, {ANCHORS_}, e AS (SELECT list, tag, count(*) AS n, min({{'path': path, 'lineno': lineno}}) AS f FROM (SELECT CASE kind WHEN 'R' THEN 'references' WHEN 'Y' THEN 'symbols' ELSE 'definitions' END AS list, * FROM an) GROUP BY list, tag)
+    SELECT an.tag, path, lineno, kind, CASE WHEN n > 1 THEN list || '/' || an.tag WHEN n = 1 AND kind <> 'Y' THEN f.path || '#L' || f.lineno END AS link
+    FROM an LEFT JOIN e ON an.tag = e.tag AND list = CASE kind WHEN 'R' THEN 'definitions' WHEN 'Y' THEN 'symbols' ELSE 'references' END""",
+)(lambda s, d: (lambda x: reports.linked(reports.anchors(*x), *x))(_anchors(s, d)))
+query("anchor_stream", f"WITH {D_}, {R_}, {ANCHORS_} SELECT * FROM an")(lambda s, d: reports.anchors(*_anchors(s, d)))
+query("line_clusters", f"WITH {D_}, {R_}, {ANCHORS_} SELECT path, lineno, count(*) AS anchors, max(kind = 'D') AS defines FROM an GROUP BY ALL")(lambda s, d: reports.line_clusters(reports.anchors(*_anchors(s, d))))
 query(
     "line_ranges",
     f"""WITH {R_}, x AS (SELECT DISTINCT path, tag, lineno FROM r), y AS (SELECT *, lineno - row_number() OVER (PARTITION BY path, tag ORDER BY lineno) AS island FROM x),
@@ -274,7 +294,7 @@ query(
 def _parsed(s: SparkSession, d: str) -> DataFrame:
     p = table(s, d, "parser_param").filter((F.length("content") > 0) & F.col("file").isNotNull()).dropDuplicates(["param_id"])
     rows = p.select(F.concat(F.lit("./"), normal_path(F.col("file"))).alias("path"), language_in(F.col("file"), F.col("langmap")).alias("lang"), "content", "flags")
-    return tables.parse_files(rows.filter("lang IS NOT NULL").repartition(F.col("path")))
+    return tables.parse_files(rows.filter("lang IS NOT NULL"))
 
 
 query("parse_definitions")(lambda s, d: tables.definitions_of(_parsed(s, d)))

@@ -52,11 +52,26 @@ def from_names(spark: SparkSession, names: str, root: str) -> DataFrame:
     """(path) of a list of names, one a line: blank lines and comments (a dot and a blank first) are left out, names
     outside the root too; the rest in normal form, each once."""
     lines = spark.read.text(names).select(F.trim("value").alias("name")).filter("name <> '' AND NOT startswith(name, '. ')")
+    return _below(lines, root)
+
+
+def _below(lines: DataFrame, root: str) -> DataFrame:
     below = F.when(F.col("name").startswith("/"), F.when(F.col("name").startswith(root.rstrip("/") + "/"), F.substring("name", len(root.rstrip("/")) + 2, 1 << 30))).otherwise(F.col("name"))
     p = normal_path(below)
     return lines.select(p.alias("p")).filter(F.col("p").isNotNull() & ~F.col("p").startswith("../") & (F.col("p") != "..")).select(F.concat(F.lit("./"), "p").alias("path")).distinct()
 
 
+def sources(spark: SparkSession, root: str, arguments: Iterable[str] = (), names: str | None = None, files: DataFrame | None = None, kinds: tuple[str, ...] = ("source",)) -> DataFrame:
+    """(path) of what a command works on: the arguments and the list ``names`` if any is given, else the files of the path table of the
+    given kinds; in normal form, each once."""
+    arguments = list(arguments)
+    if not arguments and names is None:
+        none = spark.createDataFrame([], "path string")
+        return none if files is None else files.filter(F.col("kind").isin(list(kinds))).select("path").distinct()
+    given = _below(spark.createDataFrame([(x,) for x in arguments], "name string"), root)
+    return (given if names is None else given.unionByName(from_names(spark, names, root))).distinct()
+
+
 def explained(listing: DataFrame, langmap: str = DEFAULT, skip: Iterable[str] = ()) -> DataFrame:
     """Each listed path with kind (source or other), lang, and why it is left out, if it is."""
     lang = language_of(F.col("path"), langmap)

@@ -26,8 +26,8 @@ def apply_events(state: DataFrame, events: DataFrame) -> DataFrame:
     return state.unionByName(one).groupBy("path").agg(F.max(F.struct("mtime", (~F.col("alive")).alias("gone"))).alias("x")).select("path", "x.mtime", (~F.col("x.gone")).alias("alive"))
 
 
-def maintain(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Writes a version of the state after every batch, each from the one before: ``out/v<batch>``. A batch that is run
+def maintain(events: DataFrame, out: str, checkpoint: str, delay: str | None = None) -> StreamingQuery:
+    """With ``delay`` repeated events that come within it are dropped first. Writes a version of the state after every batch, each from the one before: ``out/v<batch>``. A batch that is run
     again after a failure overwrites its own version with the same rows."""
     spark = events.sparkSession
 
@@ -35,4 +35,6 @@ def maintain(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
         old = spark.read.parquet(f"{out}/v{n - 1}") if n else spark.createDataFrame([], "path string, mtime timestamp, alive boolean")
         apply_events(old, df).write.mode("overwrite").parquet(f"{out}/v{n}")
 
+    if delay:
+        events = newest(events, delay)
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,6 +1,8 @@
+from dataclasses import replace
+
 import pytest
 
-from loomdex.engine import Index
+from loomdex.engine import Index, Menu
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +34,21 @@ def test_menu(idx):
     assert [x.path for x in idx.command("7\\.h$").collect()] == ["./b.h"]
     assert at(idx.command("8b.h")) == [("./a.c", 1)]
     assert at(idx.command("9v")) == [("./a.c", 4)]
-    assert idx.command("5x") is None and idx.command("1") is None
+    assert [x.image for x in idx.command("5 v;").collect()] == ["int \x1b[01;31mv;\x1b[m"]
+    assert [(x.tag, x.lineno) for x in idx.command("2f").collect()] == [("v", 4)]
+    assert idx.command("1") is None and idx.command("zx") is None
+    m = Menu(idx, lambda: idx)
+    assert at(m.run("1F")) == [] and m.run("c") is None and at(m.run("1F")) == [("./a.c", 3)]
+    m.run("r")
+    assert at(m.run("1F")) == [] and m.run("q") is None and m.run("1f") is None and not m.open
+
+
+def test_libraries(idx):
+    d = idx.defs.sparkSession.createDataFrame([("f", "f", 1, "./a.c", "own", 3, "int f() {"), ("g", "g", 2, "./l.c", "lib", 1, "int g() {"), ("g", "g", 3, "./m.c", "more", 1, "int g() {"), ("f2", "f2", 2, "./l.c", "lib", 5, "int f2() {")], idx.defs.schema)
+    i = replace(idx, defs=d).with_libraries("own", "lib", "more")
+    assert at(i.definitions("^f")) == [("./a.c", 3)] and at(i.definitions("g")) == [("./l.c", 1)] and at(i.definitions("none")) == []
+    assert [x.key for x in i.complete("g").collect()] == ["g"] and [x.key for x in i.complete("f").collect()] == ["f"]
+    assert at(i.from_here("g", "./a.c", 9)) == [("./l.c", 1)]
 
 
 def test_places(idx):
@@ -50,7 +66,7 @@ def test_case_kinds_and_output(idx):
     assert [x.line for x in idx.show(idx.paths("a.c"), "path").collect()] == ["./a.c"]
     assert idx.single(idx.definitions("f")).first().lineno == 3 and idx.single(idx.definitions(None)) is None
     assert [x.key for x in idx.complete("", 1).collect()] == ["f"]
-    assert {k: v.count() for k, v in idx.pages().items()} == {"duplicates": 2, "titles": 2, "alphabet": 2, "directories": 1, "includes": 1, "navigation": 2}
+    assert {k: v.count() for k, v in idx.pages().items()} == {"duplicates": 2, "titles": 2, "alphabet": 2, "directories": 1, "entries": 0, "includes": 1, "navigation": 1}
 
 
 def test_over_tables(spark, data):

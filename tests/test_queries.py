@@ -2,11 +2,11 @@
 
 import pytest
 
-from loomdex.plans import general, index_queries
+from loomdex.plans import general, index_queries, stored_queries
 from tests.oracle import canonical, connect
 
-QUERIES = {**general.QUERIES, **index_queries.QUERIES}
-ORACLE = {**general.ORACLE, **index_queries.ORACLE}
+QUERIES = {**general.QUERIES, **index_queries.QUERIES, **stored_queries.QUERIES}
+ORACLE = {**general.ORACLE, **index_queries.ORACLE, **stored_queries.ORACLE}
 
 
 @pytest.fixture(scope="module")

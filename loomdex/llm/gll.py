@@ -121,6 +121,7 @@ class Grammar:
         self.words = {t for t in self.tokens if re.fullmatch(r"[A-Za-z_]\w*", t) and not t.isupper()}
         self.tokens |= {"OTHER", "@", *("@" + r for r in groups)}
         self.parts = PARTS & set(g.rules)
+        self.items = {r: m[1] for r in groups if (m := re.search(rf"(?m)^{r} = \S+ (\w+)[*+] \S+ ;$", text)) and m[1] in self.parts}
         self.known: dict[tuple, tuple[list[tuple[int, int]], int]] = {}
         self.grouped: dict[tuple, str] = {}
         self.made: dict[str, str] = {}
@@ -216,7 +217,11 @@ class Grammar:
             for r in rules:
                 if not any(inner[1] in self.read[t] or inner[1] in self.calls[t] for t, _ in self.read[self.start[r]][inner[0]]):
                     continue
-                if mask := self.ends((r,), asked, 0, borders)[0].get(len(inner), 0):
+                if r in self.items:
+                    mask = self.sequence(self.items[r], asked, 1, len(inner) - 1, borders)
+                else:
+                    mask = self.ends((r,), asked, 0, borders)[0].get(len(inner), 0)
+                if mask:
                     labels.append((r, mask))
             name = "{" + ",".join(f"{r}:{m}" for r, m in labels) + "}"
             if name not in self.made:
@@ -416,6 +421,22 @@ class Grammar:
         put()
         return out + tokens[begin:] if dropped else tokens
 
+    def sequence(self, item: str, tokens: tuple[str, ...], at: int, stop: int, borders: list[int]) -> int:
+        """The dialects in which the tokens from ``at`` to ``stop`` are texts of a rule, one after the other, or none at all."""
+        todo, out = {at: self.all}, 0
+        while todo:
+            at = min(todo)
+            mask = todo.pop(at)
+            while tokens[at] == "NL":
+                at += 1
+            if at == stop:
+                out |= mask
+                continue
+            for e, m in self.part(item, tokens, at, borders, 0)[0]:
+                if at < e <= stop and m & mask:
+                    todo[e] = todo.get(e, 0) | m & mask
+        return out
+
     def accepts(self, items: tuple[str, ...], tokens: list[str]) -> int:
         """The dialects in which tokens (ending with END) are a sequence of items, one of the rules each; 0 if in none. One dialect holds
         for the whole text.
@@ -425,18 +446,4 @@ class Grammar:
         if short is None:
             return 0
         tokens = tuple(short)
-        borders = self.borders(tokens)
-        last = len(tokens) - 1
-        todo, out = {0: self.all}, 0
-        while todo:
-            at = min(todo)
-            mask = todo.pop(at)
-            while tokens[at] == "NL":
-                at += 1
-            if at == last:
-                return out | mask
-            got = self.part(items[0], tokens, at, borders, 0)[0] if len(items) == 1 else self.ends(items, tokens, at, borders)[0].items()
-            for e, m in got:
-                if e > at and m & mask:
-                    todo[e] = todo.get(e, 0) | m & mask
-        return out
+        return self.sequence(items[0], tokens, 0, len(tokens) - 1, self.borders(tokens))

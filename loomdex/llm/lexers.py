@@ -31,8 +31,11 @@ def _scanner(lang: str, *parts: tuple[str, str]) -> Callable[[str], Iterator[re.
 
 
 def _splitter(lang: str, skip: str, *parts: str) -> Callable[[str], list[str]]:
-    """All tokens of a text as strings; what is skipped comes before a token, and an empty token ends the text."""
-    return re.compile(rf"(?>(?:{skip})*)({'|'.join((*parts, _ops(lang)))}|\S|\Z)").findall
+    """All tokens of a text as strings; what is skipped comes before a token, and an empty token ends the text.
+
+    The most frequent tokens are tried first: brackets and separators, and words that nothing follows which may belong to them."""
+    frequent = r"[(){}\[\];,]|[^\W\d]\w*+(?![$\\\"'`\u200c\u200d])"
+    return re.compile(rf"(?>(?:{skip})*)({frequent}|{'|'.join((*parts, _ops(lang)))}|\S|\Z)").findall
 
 
 class _Kinds(dict):

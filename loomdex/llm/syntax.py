@@ -18,8 +18,8 @@ from loomdex.llm.grammars import GRAMMARS
 from loomdex.llm.lexers import LEXERS
 from loomdex.sources.languages import language_in
 
-#: Characters of source in one task; a megabyte takes some seconds.
-TASK_CHARS = 1 << 20
+#: Records in one task; with the usual sources they take some seconds.
+TASK_ROWS = 800
 #: Texts whose verdict a worker remembers.
 REMEMBERED = 4096
 
@@ -60,12 +60,11 @@ def checked(params: DataFrame, languages: DataFrame) -> DataFrame:
     """(param_id, lang, file, bad) for each record with a text and a language of ``languages``.
 
     Null and empty texts and files without a language are left out. A repeated record comes out as often; its copies are
-    parsed in one task, which knows its texts again. Records are dealt by param_id to tasks of about TASK_CHARS, so no
+    parsed in one task, which knows its texts again. Records are dealt by param_id to tasks of about TASK_ROWS, so no
     repository or language makes a task larger. Texts are parsed whole."""
     names = F.broadcast(languages.select(F.col("lang_name").alias("lang")).distinct())  # the languages a map may name
     rows = params.filter(F.length("content") > 0).select("param_id", language_in(F.col("file"), F.col("langmap")).alias("lang"), "content", "file").join(names, "lang", "left_semi")
-    chars = rows.agg(F.sum(F.length("content").cast("long"))).first()[0] or 0
-    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(chars / TASK_CHARS))
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(params.count() / TASK_ROWS))
     kind = rows.schema["param_id"].dataType.simpleString()
     return rows.select("param_id", "lang", "content", "file").repartition(tasks, "param_id").mapInArrow(_check, f"param_id {kind}, lang string, file string, bad boolean")
 

@@ -225,6 +225,38 @@ def test_many_edited_and_short_copies(rows, monkeypatch, earliest):
     assert copies(rows, recs) == {f"/{r}/zip.c" for r in lines if r != "r00"} | {"/x3/late.c", "/t/short.c", "/t/tiny.c"}
 
 
+def test_recall_of_planted_copies_by_step(rows):
+    """Vendored files with local edits among hand-written files that share boilerplate: what each step finds."""
+    import random
+
+    r = random.Random(11)
+    words = [f"{a}{b}" for a in "read list node path scan open sort hash join walk".split() for b in "er s ing _all _one _by".split()]
+    common = ["}", "return 0;", "int i;", "#include <stdio.h>", "for (i = 0; i < n; i++) {", "/* see the manual */"]
+
+    def source(n):
+        return [r.choice(common) if r.random() < 0.4 else f"{r.choice(words)}({r.choice(words)}, {r.randint(0, 999)});" for _ in range(n)]
+
+    recs, planted = [], set()
+    for k in range(60):  # libraries of one size each, from five lines on
+        lines = source(5 + 3 * k)
+        recs.append((f"/lib{k % 7}/src/l{k}.c", f"lib{k % 7}", "2024-01-01", "\n".join(lines)))
+        for c in range(4):
+            copy = list(lines)
+            for at in r.sample(range(len(copy)), int(len(copy) * r.choice([0, 0.03, 0.06, 0.1]))):
+                copy[at] = f"local_edit_{k}_{c}_{at}();"
+            if r.random() < 0.3:
+                copy.insert(r.randint(0, len(copy)), f"added_{k}_{c}();")
+            path = f"/app{(k + 11 * c) % 23}/deep/l{k}_{c}.c"
+            planted.add(path)
+            recs.append((path, path.split("/")[1], f"2024-02-{1 + c:02}", ("\r\n" if c == 3 else "\n").join("  " * (c == 2) + x for x in copy)))
+    own = [(f"/app{k % 23}/own/o{k}.c", f"app{k % 23}", "2024-03-01", "\n".join(source(r.randint(3, 120)))) for k in range(250)]
+    got = copies(rows, recs + own)
+    found = got & planted
+    assert len(found) >= 0.95 * len(planted) and not got - planted, (len(found), len(planted), sorted(got - planted)[:5])
+    said = [handwritten.kind_of_text(t, "slash") for *_, t in own]
+    assert not any(said)
+
+
 def test_paths_nulls_and_repeats(rows):
     gen = "/* Generated by t 1.0 from x.y */\nint x;"
     f = [(1, "./r/a.c", "source", "c", "r", "2025-01-01", 0), (1, "./r/a.c", "source", "c", "r", "2025-01-01", 0), (2, "./r/b.txt", "other", None, "r", None, 0), (3, "./r/n.c", None, None, "r", None, 0), (4, "./r/q.min.js", "source", "javascript", "r", None, 0), (5, None, "source", "c", None, None, 0), (6, "./r/h.c", "source", None, "r", None, 0)]

@@ -45,17 +45,19 @@ def key_percentiles(pairs: DataFrame, ps: tuple[float, ...]) -> DataFrame:
     levels = [rows.select("key", F.col("value").alias("at"), "w")]
     for _ in range(STEP, bits - 1, STEP):
         levels.append(levels[-1].groupBy("key", F.shiftright("at", STEP).alias("at")).agg(F.sum("w").alias("w")))
-    top = levels.pop()
-    n = F.sum("w").over(Window.partitionBy("key"))
-    here = top.withColumn("n", n).withColumn("p", F.explode(F.array(*[F.lit(p) for p in ps]))).withColumn("rank", F.ceil(F.col("n") * F.col("p")))
+    here = levels.pop().withColumn("n", F.sum("w").over(Window.partitionBy("key")))
+    here = here.withColumn("asks", F.array(*[F.struct(F.lit(p).alias("p"), F.ceil(F.col("n") * p).cast("long").alias("rank")) for p in ps]))
+    group = ["key"]
     while True:
-        upto = F.sum("w").over(Window.partitionBy("key", "p").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-        here = here.withColumn("upto", upto).filter((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("w")))
-        here = here.select("key", "p", "at", (F.col("rank") - F.col("upto") + F.col("w")).alias("rank"))
+        upto = F.sum("w").over(Window.partitionBy(*group).orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+        inside = F.filter("asks", lambda a: (a["rank"] <= F.col("upto")) & (a["rank"] > F.col("upto") - F.col("w")))
+        asks = F.transform(inside, lambda a: F.struct(a["p"].alias("p"), (a["rank"] - F.col("upto") + F.col("w")).alias("rank")))
+        here = here.withColumn("upto", upto).select("key", "at", asks.alias("asks")).filter(F.size("asks") > 0)
         if not levels:
+            here = here.select("key", "at", F.explode("asks.p").alias("p"))
             return here.groupBy("key").agg(*[F.min(F.when(F.col("p") == p, F.col("at"))).alias(f"p{round(100 * p)}") for p in ps])
-        below = levels.pop()
-        here = below.withColumn("above", F.shiftright("at", STEP)).join(here.withColumnRenamed("at", "above"), ["key", "above"])
+        group = ["key", "above"]  # as the join deals its rows
+        here = levels.pop().withColumn("above", F.shiftright("at", STEP)).join(here.withColumnRenamed("at", "above"), group)
 
 
 def hot_keys(gtp: DataFrame, share: float = 0.01) -> DataFrame:

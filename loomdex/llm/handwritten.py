@@ -193,7 +193,7 @@ def copies(members: DataFrame, texts: DataFrame) -> DataFrame:
     one = of.groupBy("lines").agg(F.min(F.xxhash64("repo")).alias("a"), F.max(F.xxhash64("repo")).alias("b"), F.min(name).alias("name"))
     text = texts.filter(F.size("h") > 0).groupBy("lines").agg(F.any_value("h").alias("h")).join(one, "lines")
     text = written(text.select(F.xxhash64("lines").alias("text"), "a", "b", F.pmod("name", F.lit(BUCKETS)).cast("int").alias("name"), "h"), "lines")
-    held = written(of.groupBy(F.xxhash64("lines").alias("text"), "repo").agg(F.min("born").alias("born")).filter("repo IS NOT NULL"), "held")
+    held = of.groupBy(F.xxhash64("lines").alias("text"), "repo").agg(F.min("born").alias("born")).filter("repo IS NOT NULL")
     n = text.agg(F.count("*").alias("n")).select(F.greatest(F.lit(RARE_TEXTS), F.col("n") * RARE_SHARE)).scalar()
     bits = [F.bit_or(F.when(F.floor(F.col("name") / 64) == i, F.expr("shiftleft(1L, name % 64)"))) for i in range(BUCKETS // 64)]
     names = sum((F.bit_count(F.coalesce(x, F.lit(0).cast("long"))) for x in bits[1:]), F.bit_count(F.coalesce(bits[0], F.lit(0).cast("long"))))
@@ -212,16 +212,18 @@ def copies(members: DataFrame, texts: DataFrame) -> DataFrame:
         hits = lines.join(repos.drop("rank"), "h").filter(earlier)
         got = hits.groupBy("text", "repo", "other", "source").agg(F.count("*").alias("got"))
         got = got.groupBy("text", "repo", "other").agg(F.max("got").alias("most"), F.sum("got").alias("got")).join(total, "text")
-        got = written(got.filter(F.col("got") >= need).select("text", "repo", "other", (F.col("most") >= need).alias("sure"), need.alias("need")), "got")
+        got = got.filter(F.col("got") >= need).select("text", "repo", "other", (F.col("most") >= need).alias("sure"), need.alias("need"))
         sure = got.filter("sure").select("text", "repo").distinct()
         doubt = got.filter("NOT sure").join(sure, ["text", "repo"], "left_anti")
         holders = shared.select("h", F.col("repo").alias("other"), F.col("born").alias("first"), F.col("text").alias("source"))
         rest = lines.join(doubt, ["text", "repo"]).join(holders, ["h", "other"]).filter(earlier).groupBy("text", "repo", "source").agg(F.count("*").alias("got"), F.max("need").alias("need"))
         return sure.unionByName(rest.filter("got >= need").select("text", "repo").distinct())
 
-    best = written(found(shared, other.filter(F.col("rank") <= EARLIEST)), "best")
-    late = shared.join(other.filter(F.col("rank") == EARLIEST + 1).select("h"), "h", "left_semi").select("text", "repo").distinct().join(best, ["text", "repo"], "left_anti")
-    best = best.unionByName(found(shared.join(late, ["text", "repo"], "left_semi"), other))
+    best = found(shared, other.filter(F.col("rank") <= EARLIEST))
+    if not other.filter(F.col("rank") > EARLIEST).isEmpty():  # else all repositories were asked
+        best = written(best, "best")
+        late = shared.join(other.filter(F.col("rank") == EARLIEST + 1).select("h"), "h", "left_semi").select("text", "repo").distinct().join(best, ["text", "repo"], "left_anti")
+        best = best.unionByName(found(shared.join(late, ["text", "repo"], "left_semi"), other))
     same = of.filter("repo IS NOT NULL").select("path", "repo", "born", "whole")
     first = same.groupBy("whole").agg(F.min("repo").alias("a"), F.max("repo").alias("b"), F.min(F.struct("born", "repo")).alias("first")).filter("a <> b")
     same = same.join(first, "whole").filter(F.col("first.repo") != F.col("repo")).select("path")
